@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castweave.llm import contract
+from castweave.llm import contract, encoding
 from castweave.runtime import table
 
 
@@ -12,8 +12,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.found_groups(table(spark, sf_dir, "candidate_pair"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = encoding.damaged_tables(table(spark, sf_dir, "parsed_episode"), table(spark, sf_dir, "podcast"))
+    return damaged.select("source_table", "record_id", "field").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = encoding.damaged_tables(table(spark, sf_dir, "parsed_episode"), table(spark, sf_dir, "podcast"))
+    return damaged.select("source_table", "record_id", "field", "restored", "labels")
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
 }
 
 SQL = {
