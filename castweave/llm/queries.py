@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castweave.llm import contract, encoding
+from castweave.llm import contract, encoding, names
 from castweave.runtime import table
 
 
@@ -12,6 +12,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.found_groups(table(spark, sf_dir, "candidate_pair"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(table(spark, sf_dir, "person"), table(spark, sf_dir, "entity_profile"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = encoding.damaged_tables(table(spark, sf_dir, "parsed_episode"), table(spark, sf_dir, "podcast"))
     return damaged.select("source_table", "record_id", "field").distinct()
@@ -24,6 +28,7 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
 }
