@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castweave.llm import contract, encoding, names
+from castweave.llm import contract, encoding, leakage, names, packing
 from castweave.runtime import table
 
 
@@ -26,11 +26,23 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged.select("source_table", "record_id", "field", "restored", "labels")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    leaks = leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "text")
+    return leaks.select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
 }
 
 SQL = {
