@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castweave.llm import contract, encoding, leakage, names, packing
+from castweave.llm import contract, encoding, leakage, names, packing, pii
 from castweave.runtime import table
 
 
@@ -36,6 +36,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_in(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_in(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -43,6 +51,8 @@ QUERIES = {
     "p4_restored": p4_restored,
     "p6_containers": p6_containers,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 SQL = {
