@@ -120,7 +120,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     within = Window.partitionBy("_size", "_salt").orderBy(key, "part")
     ranked = (
         loose.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), ["_size", "_salt"])
+        .join(offsets, ["_size", "_salt"])
         .withColumn("_rank", F.col("_rank") + F.col("_offset"))
     )
     placed = ranked.join(
