@@ -71,7 +71,8 @@ def blocking_keys(normalized: Column) -> Column:
 def block_pairs(profile: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """``left_id < right_id`` with their shared keys, from blocks of 2 to ``block_limit`` members.
 
-    Block sizes are counted before pairs are made, so an oversized block never pairs up.
+    Block sizes are counted before pairs are made, so an oversized block never pairs up. The limit is
+    part of this blocking scheme; linking without any limit is the name-variant operator's task.
     """
     keyed = profile.select("entity_id", F.explode(blocking_keys(F.col("normalized_name"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, block_limit))

@@ -103,9 +103,8 @@ def common_guests(appearance: DataFrame, first: int, second: int, limit: int = 2
 
 
 def hosts_by_podcast(appearance: DataFrame) -> DataFrame:
-    """Distinct host names per show in order of first name, as one comma-separated list."""
-    hosts = appearance.where("role = 'host'").select("podcast_id", "name").distinct()
-    return hosts.groupBy("podcast_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("hosts"))
+    """Distinct ``podcast_id, person_id, name`` of hosts; rows, not lists, so a large show stays spread."""
+    return appearance.where("role = 'host'").select("podcast_id", "person_id", "name").distinct()
 
 
 def frequent_guests(appearance: DataFrame, episode: DataFrame) -> DataFrame:
@@ -196,7 +195,8 @@ def diverse_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> Da
     """``n`` rows in a fixed pseudo-random order, one per group first and only then further ones."""
     dice = F.xxhash64(F.col(key), F.lit(seed))
     turn = F.row_number().over(Window.partitionBy(group).orderBy(dice, F.col(key)))
-    return df.withColumn("turn", turn).orderBy("turn", dice, F.col(key)).limit(n)
+    # No group gives more than n rows, and the bound lets Spark drop the rest before the shuffle.
+    return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", dice, F.col(key)).limit(n)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 24) -> DataFrame:

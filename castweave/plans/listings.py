@@ -120,8 +120,7 @@ def common_guests(c: Catalog) -> DataFrame:
 
 
 @query(
-    f"""WITH {APPEARANCES} SELECT podcast_id, string_agg(name, ', ' ORDER BY name) AS hosts
-    FROM (SELECT DISTINCT podcast_id, name FROM app WHERE role = 'host') GROUP BY 1"""
+    f"WITH {APPEARANCES} SELECT DISTINCT podcast_id, person_id, name FROM app WHERE role = 'host'"
 )
 def hosts_by_podcast(c: Catalog) -> DataFrame:
     return ops.hosts_by_podcast(c.appearance)
