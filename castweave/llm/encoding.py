@@ -12,6 +12,7 @@ Pure ASCII values are set aside in the JVM; only the others reach Python, in Arr
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ SINGLE = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1253", "cp1252"))
 # Fixed costs, in units of -log probability.
 ENTER, STAY, SINGLE_ENTER = 4.0, 1.0, 6.0
 PASSES = 3
+# Stretches with foreign characters, at most that many ASCII ones apart, are decoded together.
+_STRETCH = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]{0,8}[^\x00-\x7f])*")
+STRETCH_MAX = 4_000
 
 
 def _byte_map(wrong: str) -> dict[str, int]:
@@ -157,10 +161,24 @@ def _double_arc(text: str, i: int, table: dict[str, int]) -> tuple[int, str] | N
 def label_once(text: str) -> tuple[str, list[str]]:
     """One Viterbi pass: the text with every damaged span inverted, and the labels of the spans.
 
-    Only stretches around foreign characters are decoded; ASCII in between is clean by itself.
+    Only stretches around foreign characters are decoded; ASCII in between is clean by itself. A
+    stretch longer than ``STRETCH_MAX`` is decoded in parts, so memory stays bounded on any text.
     """
     if text.isascii():
         return text, []
+    out, at, labels = [], 0, set()
+    for m in _STRETCH.finditer(text):
+        out.append(text[at : m.start()])
+        for a in range(m.start(), m.end(), STRETCH_MAX):
+            part, met = _label_stretch(text[a : min(m.end(), a + STRETCH_MAX)], text[a - 1] if a else " ")
+            out.append(part)
+            labels.update(met)
+        at = m.end()
+    return "".join(out) + text[at:], sorted(labels)
+
+
+def _label_stretch(text: str, first_before: str) -> tuple[str, list[str]]:
+    """Viterbi decoding of one stretch after the character ``first_before``."""
     arcs: dict[int, list] = {}
     for i, char in enumerate(text):
         if char < "\x80":
@@ -188,7 +206,7 @@ def label_once(text: str) -> tuple[str, list[str]]:
         here = best[i]
         if not here:
             continue
-        char, before = text[i], text[i - 1] if i else " "
+        char, before = text[i], text[i - 1] if i else first_before
         low_state = min(here, key=lambda s: here[s][0])
         low = here[low_state][0]
         if char == "�":
@@ -248,15 +266,17 @@ def damaged_values(df: DataFrame, source_table: str, key: str, fields: tuple[str
     """``source_table, record_id, field, value, restored, labels`` of every damaged value of ``fields``.
 
     ``labels`` names the states met, comma-separated; ``lost`` marks replacement characters, which
-    stay in ``restored``. Nulls, blanks and pure ASCII are never damaged; repeated rows repeat.
+    stay in ``restored``. Nulls, blanks and pure ASCII are never damaged; repeated rows repeat;
+    a null key stays null; an empty table gives no rows.
     """
     values = df.select(
-        F.col(key).cast("long").alias("record_id"),
+        F.col(key).cast("string").alias("record_id"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x"),
     ).select(F.lit(source_table).alias("source_table"), "record_id", "x.field", "x.value")
     foreign = values.where(F.col("value").rlike(r"[^\x00-\x7F]"))
-    schema = "source_table string, record_id long, field string, value string, restored string, labels string"
-    return foreign.mapInPandas(_label_batches, schema)
+    schema = "source_table string, record_id string, field string, value string, restored string, labels string"
+    found = foreign.mapInPandas(_label_batches, schema)
+    return found.withColumn("record_id", F.col("record_id").cast("long"))
 
 
 def damaged_tables(parsed_episode: DataFrame, podcast: DataFrame) -> DataFrame:

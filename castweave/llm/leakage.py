@@ -204,11 +204,12 @@ def find_leaks(
     """``doc_id, item_id, words_carried, words_matched`` of every document that carries an item's words.
 
     A document carries an item if at least ``MIN_WORDS`` of its words appear in order. Null and
-    short texts match nothing; repeated documents are reported each; empty tables give no rows.
+    short texts match nothing; repeated documents are reported each; rows without id are left out;
+    empty tables give no rows.
     """
     schema = "doc_id long, item_id long, words_carried int, words_matched int"
     blocks: list[list[tuple[int, str]]] = [[]]
-    wanted = eval_item.where(F.col(item_text).isNotNull()).select(item_id, item_text)
+    wanted = eval_item.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text)
     for row in wanted.toLocalIterator():
         if len(blocks[-1]) == ITEM_BLOCK:
             blocks.append([])
@@ -229,7 +230,7 @@ def find_leaks(
 
         return search
 
-    slim = documents.select(doc_id, text)
+    slim = documents.where(F.col(doc_id).isNotNull()).select(doc_id, text)
     result = None
     for block in blocks:
         part = slim.mapInPandas(scan(block), schema)

@@ -49,7 +49,9 @@ def token_counts(documents: DataFrame, key: str, text: str, tokenizer: str = TOK
             yield pd.DataFrame({key: batch[key], "n_tokens": [len(encoding.encode_ordinary(t or "")) for t in batch[text]]})
 
     kind = dict(documents.dtypes)[key]
-    return documents.select(key, text).mapInPandas(count, f"`{key}` {kind}, n_tokens long")
+    # Keys travel as text, so that nulls don't turn whole numbers into floats on the way.
+    slim = documents.select(F.col(key).cast("string").alias(key), text)
+    return slim.mapInPandas(count, f"`{key}` string, n_tokens long").withColumn(key, F.col(key).cast(kind))
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
