@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType
 
 from castweave.runtime import ship
 
@@ -46,16 +47,16 @@ def match_score(a: str | None, b: str | None) -> float:
     return max(direct, in_order)
 
 
-def _lift(function, kind: str):
+def _lift(function, kind: DataType):
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([function(x, y) for x, y in zip(a, b, strict=True)])
 
     return F.pandas_udf(apply, kind)
 
 
-seq_ratio = _lift(sequence_ratio, "double")
-osa = _lift(osa_distance, "int")
-osa_sim = _lift(osa_similarity, "double")
-name_match_score = _lift(match_score, "double")
+seq_ratio = _lift(sequence_ratio, DoubleType())
+osa = _lift(osa_distance, IntegerType())
+osa_sim = _lift(osa_similarity, DoubleType())
+name_match_score = _lift(match_score, DoubleType())
 
 ship(__name__)

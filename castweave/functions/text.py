@@ -67,7 +67,8 @@ def normalize_extraction(c: Column) -> Column:
 def normalize_graph(c: Column) -> Column:
     """Accents folded, ``&`` read as and, other signs to single spaces."""
     accented, plain = _fold_table()
-    folded = F.translate(F.regexp_replace(F.lower(c), "ß", "ss"), accented, plain)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"\p{M}+", ""), "ß", "ss")
+    folded = F.translate(bare, accented, plain)
     return F.trim(F.regexp_replace(F.regexp_replace(folded, "&", " and "), "[^a-z0-9]+", " "))
 
 
