@@ -27,7 +27,7 @@ UTF8_AS = ("cp1252", "cp437", "mac_roman", "cp1250", "cp1251", "cp850", "cp1254"
 # Fixed values: (true encoding, wrong decoding) of single-byte text.
 SINGLE = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1253", "cp1252"))
 # Fixed costs, in units of -log probability.
-ENTER, STAY, SINGLE_ENTER = 4.0, 1.0, 6.0
+ENTER, RARE, USUAL, STAY, SINGLE_ENTER = 4.0, 3.0, 4, 1.0, 6.0
 PASSES = 3
 # Stretches with foreign characters, at most that many ASCII ones apart, are decoded together.
 _STRETCH = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]{0,8}[^\x00-\x7f])*")
@@ -49,6 +49,8 @@ def _byte_map(wrong: str) -> dict[str, int]:
 
 
 UTF8_MAPS = [(f"utf8>{wrong}", _byte_map(wrong)) for wrong in UTF8_AS]
+# Entering a pair costs by how common it is: those beyond the usual ones need stronger evidence.
+ENTER_COST = {f"utf8>{w}{t}": ENTER + (0.0 if i < USUAL else RARE) for i, w in enumerate(UTF8_AS) for t in ("", " twice")}
 
 
 def _single_map(true: str, wrong: str) -> dict[str, str]:
@@ -218,13 +220,17 @@ def _label_stretch(text: str, first_before: str) -> tuple[str, list[str]]:
             step = STAY + clean_cost(out, here[name][3] if name in here and here[name][3] else " ")
             if name in here:
                 offer(i + length, name, here[name][0] + step, i, name, out)
-            offer(i + length, name, low + ENTER + step, i, low_state, out)
-        if char >= "\x80":
+            offer(i + length, name, low + ENTER_COST[name] + step, i, low_state, out)
+        if char < "\x80" and not char.isalpha():  # a single-byte span goes on over spaces and signs
+            for name, _ in SINGLE_MAPS:
+                if name in here:
+                    offer(i + 1, name, here[name][0] + 0.1, i, name, char)
+        elif char >= "\x80":
             for name, table in SINGLE_MAPS:
                 out = table.get(char)
                 if out is None:
                     continue
-                inside = name in here and i > 0 and text[i - 1] >= "\x80"
+                inside = name in here
                 step = 2.5 + (2.5 if inside and here[name][3].islower() and out.isupper() else 0.0)
                 if inside:
                     offer(i + 1, name, here[name][0] + step, i, name, out)
