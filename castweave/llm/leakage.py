@@ -43,7 +43,7 @@ LOOKALIKES = str.maketrans(
 _HIDDEN = re.compile("[̀-ͯ­​-‏⁠﻿︎️]+")
 _OTHER_SCRIPT = re.compile("[ɐ-ʯͰ-ԯ]")
 _TAGS = re.compile(r"</?[a-z][^<>]{0,40}>")
-_DASHES = re.compile(r"[–—/|…]+")
+_DASHES = re.compile(r"[–—…]+")
 _SIGNS = re.compile(r"[^\w\s]+|_+")
 
 
@@ -52,12 +52,13 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
+    if "<" in text:
+        text = _TAGS.sub(" ", text)
     if not text.isascii():
         text = _DASHES.sub(" ", _HIDDEN.sub("", unicodedata.normalize("NFKD", text)))
         if _OTHER_SCRIPT.search(text):
             text = text.translate(LOOKALIKES)
-    if "<" in text:
-        text = _TAGS.sub(" ", text)
+    text = text.replace("/", " ").replace("|", " ")
     return _SIGNS.sub("", text).split()
 
 
