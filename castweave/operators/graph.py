@@ -66,6 +66,7 @@ def pagerank(
     Stops when the summed change falls below ``nodes * tolerance`` (never with ``None``) or after
     ``iterations``. An empty node table gives no rows.
     """
+    edges, nodes = cut(edges), cut(nodes.select("id"))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
@@ -74,15 +75,14 @@ def pagerank(
     state = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select(
         "id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")
     ))
-    for i in range(iterations):
+    for _ in range(iterations):
         loose = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         inflow = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("inflow")
         )
         new = F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + loose / n) + (1 - damping) / n
         state = state.join(inflow, "id", "left").select("id", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
-        if tolerance is not None or i % 3 == 2 or i == iterations - 1:
-            state = cut(state)
+        state = cut(state)
         if tolerance is not None and state.agg(F.sum("change")).first()[0] < n * tolerance:
             break
         state = state.drop("change")
@@ -93,9 +93,8 @@ def hits(edges: DataFrame, nodes: DataFrame, iterations: int = 50) -> DataFrame:
     """``id, hub, authority`` on the weighted graph, each normalised to sum 1."""
     total = lambda df, c: df.agg(F.sum(c)).scalar()
     edges = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    hub = nodes.select("id", F.lit(1.0).alias("hub"))
-    authority = None
-    for i in range(iterations):
+    hub = edges.select(F.col("src").alias("id"), F.lit(1.0).alias("hub")).distinct()
+    for _ in range(iterations):
         authority = edges.join(hub.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("hub") * F.col("weight")).alias("authority")
         )
@@ -104,8 +103,6 @@ def hits(edges: DataFrame, nodes: DataFrame, iterations: int = 50) -> DataFrame:
         )
         raw = cut(raw)
         hub = raw.withColumn("hub", F.col("hub") / total(raw, "hub"))
-        if i < iterations - 1:
-            authority = None
     authority = edges.join(hub.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(
         F.sum(F.col("hub") * F.col("weight")).alias("authority")
     )
@@ -126,7 +123,7 @@ def distances(steps: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``steps(src, dst)`` holds every edge in both directions.
     """
-    steps = steps.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    steps = cut(steps.select(F.col("src").alias("node"), F.col("dst").alias("next")))  # read at every level
     front = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths")))
     seen, level = front, 0
     while not front.isEmpty():
@@ -168,7 +165,7 @@ def betweenness(steps: DataFrame, nodes: DataFrame, dist: DataFrame, k: int | No
 
     ``k`` is the number of sampled sources; ``None`` where all nodes are sources.
     """
-    deepest = dist.agg(F.max("dist")).first()[0] or 0
+    steps, deepest = cut(steps), dist.agg(F.max("dist")).first()[0] or 0
     delta = None
     found = []
     for level in range(deepest, 0, -1):
@@ -196,6 +193,7 @@ def betweenness(steps: DataFrame, nodes: DataFrame, dist: DataFrame, k: int | No
 
 def components(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, component`` (smallest id of the component) by label spreading with pointer jumping."""
+    steps = cut(steps)  # read in every round
     label = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = steps.join(label.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(
@@ -223,8 +221,10 @@ def structure(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Triangles are found from the end with fewer neighbours, so a hub opens few wedges.
     """
-    inside = pairs.select("a", "b").join(nodes.withColumnRenamed("id", "a"), "a", "left_semi").join(
-        nodes.withColumnRenamed("id", "b"), "b", "left_semi"
+    inside = cut(
+        pairs.select("a", "b")
+        .join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
+        .join(nodes.withColumnRenamed("id", "b"), "b", "left_semi")
     )
     steps = both_ways(inside)
     deg = steps.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
@@ -234,7 +234,6 @@ def structure(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("lo"),
         F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("hi"),
     )
-    up = cut(up)
     wedge = up.select("lo", F.col("hi").alias("x")).join(up.select("lo", F.col("hi").alias("y")), "lo").where("x < y")
     closing = up.select(F.least("lo", "hi").alias("x"), F.greatest("lo", "hi").alias("y"))
     triangles = wedge.join(closing, ["x", "y"], "left_semi")

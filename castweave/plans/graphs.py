@@ -9,6 +9,7 @@ from castweave.operators import graph as G
 from castweave.operators import paths as P
 from castweave.operators import relational as ops
 from castweave.plans.listings import COHOSTS
+from castweave.runtime import cut
 from castweave.sources.catalog import APPEARANCES, Catalog
 
 QUERIES: dict = {}
@@ -182,7 +183,7 @@ def connected_components(c: Catalog) -> DataFrame:
            round(sum(t) / sum(d * (d - 1) / 2), 9) AS transitivity FROM l"""
 )
 def largest_component_structure(c: Catalog) -> DataFrame:
-    pairs = G.undirected(G.person_edges(c.appearance))
+    pairs = cut(G.undirected(G.person_edges(c.appearance)))
     members = G.largest_component(G.components(G.both_ways(pairs), nodes(c)))
     out = G.structure(pairs, members)
     return out.select("nodes", "edges", *(F.round(x, 9).alias(x) for x in ("density", "average_clustering", "transitivity")))
