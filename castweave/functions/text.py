@@ -203,3 +203,37 @@ def entity_genres(metadata: Column) -> Column:
         F.coalesce(metadata["legacy"]["categories"], empty), F.coalesce(metadata["apple_podcasts"]["chart_sources"], empty)
     )
     return F.array_sort(F.array_distinct(F.filter(F.transform(both, lambda g: F.lower(F.trim(g))), lambda g: g != "")))
+
+
+def ngrams(c: Column, n: int = 3) -> Column:
+    """Distinct substrings of ``n`` characters; a shorter text is its own only one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n))))
+
+
+def ngram_distance(a: Column, b: Column, n: int = 3) -> Column:
+    """One minus the Jaccard index of the two sets of substrings."""
+    x, y = ngrams(a, n), ngrams(b, n)
+    return 1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+def is_resolved_name(c: Column) -> Column:
+    """A usable full name: two words or more, no brackets, and not said to be unknown."""
+    vague = c.rlike(r"(?i)[\[\](){}<>]|\bunknown\b|not provided")
+    return ~vague & (F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")) >= 2)
+
+
+def loose_boolean(c: Column) -> Column:
+    """``true/yes/1`` and ``false/no/0`` in any case; null otherwise."""
+    text = F.lower(F.trim(c))
+    return F.when(text.isin("true", "yes", "1", "t"), True).when(text.isin("false", "no", "0", "f"), False)
+
+
+def loose_list(c: Column) -> Column:
+    """A list literal with either kind of quotes as an array of strings; null where it is none."""
+    return F.from_json(F.replace(c, F.lit("'"), F.lit('"')), "array<string>")
+
+
+def merged(old: Column, new: Column, fields: list[str]) -> Column:
+    """Struct of ``fields`` of ``new`` where they are set, else of ``old``."""
+    return F.struct(*(F.coalesce(new[f], old[f]).alias(f) for f in fields))

@@ -115,6 +115,28 @@ def candidate_pairs(profile: DataFrame, limit: int = PAIR_LIMIT, block_limit: in
     return ranked.orderBy(F.desc("keys"), F.desc("shared"), F.desc("rarer"), "left_id", "right_id").limit(limit)
 
 
+def near_in_graph(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """Pairs with ``near``: how many pairs of their shows are joined by some third entity.
+
+    Third entities are counted per pair of shows once, so nothing is paired within a show; the
+    two entities themselves are taken off the count.
+    """
+    on = profile.select("entity_id", F.array_sort(F.array_distinct(F.coalesce("podcast_ids", F.array().cast("array<bigint>")))).alias("s"))
+    sets = on.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    first = sets.select("n", "s", F.posexplode("s").alias("i", "a"))
+    joined = first.select("n", "a", F.explode(F.slice("s", F.col("i") + 1, F.size("s"))).alias("b"))
+    links = joined.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    side = lambda name: on.select(F.col("entity_id").alias(f"{name}_id"), F.col("s").alias(f"{name}_s"))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    x, y = F.col("x"), F.col("y")
+    spread = both.withColumn("x", F.explode("left_s")).withColumn("y", F.explode("right_s"))
+    spread = spread.select("left_id", "right_id", "left_s", "right_s", "x", "y", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    own = lambda s: (F.array_contains(s, F.col("a")) & F.array_contains(s, F.col("b"))).cast("int")
+    third = spread.join(links, ["a", "b"]).withColumn("t", F.col("n") - own("left_s") - own("right_s")).where("t > 0")
+    near = third.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("near"))
+    return pairs.join(near, ["left_id", "right_id"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
+
+
 def name_frequencies(counts: DataFrame, name: str, count: str) -> DataFrame:
     """``name, count, per_million`` from raw counts, names folded to lower case."""
     total = counts.agg(F.sum(count)).scalar()
@@ -164,6 +186,7 @@ def pair_features(joined: DataFrame, first_names: dict[str, float] | None = None
     group_union = F.size(F.array_union("lg", "rg"))
     near = c("near") if "near" in joined.columns else F.lit(0)
     distance = F.when(shared_shows > 0, 2).when(near > 0, 4)
+    # The names and the order of the features.
     features = {
         "name_sequence_ratio": sim.seq_ratio("l.normalized_name", "r.normalized_name"),
         "token_jaccard": text.jaccard(c("lt"), c("rt")),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castweave.functions import text
+from castweave.runtime import cut
 
 COHOST_EPISODES, COHOST_SHARE = 100, 0.20
 
@@ -167,6 +168,35 @@ def materialise(candidate: DataFrame, appearance: DataFrame, least: float = 0.95
     )
 
 
+def host_appearances(hosts: DataFrame, episode: DataFrame, existing: DataFrame) -> DataFrame:
+    """``episode_id, person_id`` of hosts on every episode of their show that ``existing`` lacks.
+
+    ``hosts(podcast_id, person_id)`` is small per show; the rows follow the episodes.
+    """
+    episodes = episode.select(F.col("id").alias("episode_id"), "podcast_id").distinct()
+    wanted = hosts.select("podcast_id", "person_id").distinct().join(episodes, "podcast_id").select("episode_id", "person_id")
+    return wanted.join(existing.where("role = 'host'").select("episode_id", "person_id"), ["episode_id", "person_id"], "left_anti")
+
+
+def metadata_hosts(podcast: DataFrame) -> DataFrame:
+    """``podcast_id, name`` of hosts named in show metadata, cleaned; single words and repeats dropped."""
+    named = podcast.select(F.col("id").alias("podcast_id"), F.explode("metadata.legacy.hosts").alias("raw"))
+    clean = named.select("podcast_id", text.clean_display_name(F.col("raw")).alias("name"))
+    return clean.where((F.col("name") != "") & ~text.is_single_token(F.col("name"))).distinct()
+
+
+def prune_single_tokens(person: DataFrame, appearance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """People of at least two name tokens, and the appearances that are left with them."""
+    kept = person.where(~F.coalesce(text.is_single_token(F.col("name")), F.lit(True)))
+    return kept, appearance.join(kept.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+
+
+def chunks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``chunk`` number of each row, ``size`` rows each in order of ``key`` as text."""
+    ranked = global_rank(df.withColumn("_zero", F.lit(0)), "_zero", key, "_rank")
+    return ranked.withColumn("chunk", F.floor((F.col("_rank") - 1) / size)).drop("_zero", "_rank")
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
@@ -181,8 +211,6 @@ def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     order = [F.desc(value), F.asc(F.col(key).cast("string"))]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from castweave.runtime import cut
-
     numbered = cut(numbered)
     sizes = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

@@ -146,11 +146,34 @@ def avg_path_sampled(c: Catalog) -> DataFrame:
     return G.average_path(_distances(c)).select(F.round("average_path", 9).alias("average_path"))
 
 
-@query()
+def _betweenness_sql() -> str:
+    steps = [f"s AS (SELECT id FROM n ORDER BY CAST(id AS VARCHAR) LIMIT {SAMPLE})",
+             "l0 AS (SELECT id AS src, id AS node, CAST(1 AS DOUBLE) AS paths FROM s)", "v0 AS (SELECT src, node FROM l0)"]
+    for i in range(DEPTH):
+        steps += [
+            f"""l{i + 1} AS (SELECT l.src, st.dst AS node, sum(paths) AS paths FROM l{i} l JOIN st ON st.src = l.node
+                WHERE NOT EXISTS (SELECT 1 FROM v{i} v WHERE v.src = l.src AND v.node = st.dst) GROUP BY 1, 2)""",
+            f"v{i + 1} AS (SELECT * FROM v{i} UNION ALL SELECT src, node FROM l{i + 1})",
+        ]
+    steps.append(f"d{DEPTH} AS (SELECT src, node, CAST(0 AS DOUBLE) AS delta FROM l{DEPTH})")
+    for i in range(DEPTH - 1, 0, -1):
+        steps.append(
+            f"""d{i} AS (SELECT a.src, a.node, sum(a.paths / b.paths * (1 + coalesce(d.delta, 0))) AS delta FROM l{i} a
+                JOIN st ON st.src = a.node JOIN l{i + 1} b ON b.src = a.src AND b.node = st.dst
+                LEFT JOIN d{i + 1} d ON d.src = b.src AND d.node = b.node GROUP BY 1, 2)"""
+        )
+    every = " UNION ALL ".join(f"SELECT node, delta FROM d{i}" for i in range(1, DEPTH + 1))
+    return f"""WITH {EDGES}, {", ".join(steps)}, k AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM n),
+        x AS (SELECT node, sum(delta) AS d FROM ({every}) GROUP BY 1)
+        SELECT id, round(coalesce(d, 0) / ((c - 1) * (c - 2)) * c / {SAMPLE}, 9) AS betweenness
+        FROM n CROSS JOIN k LEFT JOIN x ON x.node = id"""
+
+
+@query(_betweenness_sql())
 def betweenness_sampled(c: Catalog) -> DataFrame:
-    steps = G.both_ways(G.undirected(G.person_edges(c.appearance)))
+    steps = cut(G.both_ways(G.undirected(G.person_edges(c.appearance))))
     dist = G.distances(steps, G.first_by_text(nodes(c), SAMPLE))
-    return G.betweenness(steps, nodes(c), dist, SAMPLE)
+    return G.betweenness(steps, nodes(c), dist, SAMPLE).withColumn("betweenness", F.round("betweenness", 9))
 
 
 def _labels_sql() -> str:

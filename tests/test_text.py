@@ -53,3 +53,15 @@ def test_similarities():
     assert similarity.match_score("rogan joe", "joe rogan") == 1
     assert similarity.osa_similarity("", "") == 1.0 and similarity.osa_similarity("a", "") == 0.0
     assert similarity.sequence_ratio("tide", "diet") == 0.25 and similarity.sequence_ratio("diet", "tide") == 0.5
+
+
+def test_small_functions(spark):
+    from castweave.functions import params
+
+    distance = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(text.ngram_distance(F.col("a"), F.col("b"))).first()[0]
+    assert distance("abcd", "abcd") == 0 and distance("ab", "abc") == 1 and distance("", "") == 0
+    assert [one(spark, v, text.is_resolved_name) for v in ("Ann Lee", "Ann", "Unknown Guest", "Ann (host) Lee", None)] == [True, False, False, False, None]
+    assert one(spark, "['a', 'b']", text.loose_list) == ["a", "b"]
+    assert [one(spark, v, text.loose_boolean) for v in ("TRUE", "0", "")] == [True, False, None]
+    assert params.int_list(["1,2", "x", None, "2"]) == [1, 2] and params.text_list([" a,b ", "a"]) == ["a", "b"]
+    assert str(params.iso_date("2024-02-29")) == "2024-02-29" and params.iso_date("2024-02-30") is None and params.iso_date(None) is None
