@@ -147,14 +147,16 @@ def name_frequencies(counts: DataFrame, name: str, count: str) -> DataFrame:
 def pair_features(joined: DataFrame, first_names: dict[str, float] | None = None, last_names: dict[str, float] | None = None) -> DataFrame:
     """``left_id, right_id`` and the 67 features of pairs from :func:`profile_pairs`.
 
-    Name frequencies (per million) are small dictionaries; without them those features are 0.
+    A column ``near`` of :func:`near_in_graph` feeds the graph distance. Name frequencies (per
+    million) are small dictionaries; without them those features are 0.
     """
     table = lambda d: F.create_map(*(F.lit(x) for x in chain(*(d or {"": 0.0}).items())))
     per_first, per_last = table(first_names), table(last_names)
     arr = lambda c, kind="array<string>": F.coalesce(F.col(c), F.array().cast(kind))
     tokens = {s: arr(f"{s}.alpha_tokens") for s in "lr"}
+    third = F.col("near") if "near" in joined.columns else F.lit(0)
     base = joined.select(
-        "left_id", "right_id", "l", "r",
+        "left_id", "right_id", "l", "r", third.alias("near"),
         *(F.array_distinct(tokens[s]).alias(f"{s}t") for s in "lr"),
         *(tokens[s].alias(f"{s}raw") for s in "lr"),
         *(text.clean_tokens(F.col(f"{s}.normalized_name")).alias(f"{s}c") for s in "lr"),
@@ -184,8 +186,7 @@ def pair_features(joined: DataFrame, first_names: dict[str, float] | None = None
     genres, roles = [arr(f"{s}.genres") for s in "lr"], [arr(f"{s}.roles") for s in "lr"]
     shared_shows = both(*shows)
     group_union = F.size(F.array_union("lg", "rg"))
-    near = c("near") if "near" in joined.columns else F.lit(0)
-    distance = F.when(shared_shows > 0, 2).when(near > 0, 4)
+    distance = F.when(shared_shows > 0, 2).when(c("near") > 0, 4)
     # The names and the order of the features.
     features = {
         "name_sequence_ratio": sim.seq_ratio("l.normalized_name", "r.normalized_name"),
