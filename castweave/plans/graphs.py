@@ -176,6 +176,45 @@ def betweenness_sampled(c: Catalog) -> DataFrame:
     return G.betweenness(steps, nodes(c), dist, SAMPLE).withColumn("betweenness", F.round("betweenness", 9))
 
 
+# The queries above are bounded to what unrolled SQL can bear; those below run the operators' own parameters, without SQL.
+PATH_SAMPLE = 200
+
+
+@query()
+def pagerank(c: Catalog) -> DataFrame:
+    return G.pagerank(G.person_edges(c.appearance), nodes(c))
+
+
+@query()
+def hits(c: Catalog) -> DataFrame:
+    return G.hits(G.person_edges(c.appearance), nodes(c))
+
+
+def _searched(c: Catalog, sample: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(steps, nodes, distances, sampled): all nodes are sources where there are at most ``sample``."""
+    steps = cut(G.both_ways(G.undirected(G.person_edges(c.appearance))))
+    people = cut(nodes(c))
+    sampled = people.count() > sample
+    return steps, people, G.distances(steps, G.first_by_text(people, sample) if sampled else people), sampled
+
+
+@query()
+def closeness(c: Catalog) -> DataFrame:
+    _, people, dist, sampled = _searched(c, G.SAMPLE)
+    return G.closeness(dist, people, sampled)
+
+
+@query()
+def betweenness(c: Catalog) -> DataFrame:
+    steps, people, dist, sampled = _searched(c, G.SAMPLE)
+    return G.betweenness(steps, people, dist, G.SAMPLE if sampled else None)
+
+
+@query()
+def average_path(c: Catalog) -> DataFrame:
+    return G.average_path(_searched(c, PATH_SAMPLE)[2])
+
+
 def _labels_sql() -> str:
     steps = ["c0 AS (SELECT id, id AS component FROM n)"]
     for i in range(LABEL_ROUNDS):
