@@ -7,7 +7,8 @@ each stretch of an item its rarest terms in the shard are looked up first; their
 adjusted by the offset within the item, must meet in one place of a document. Only those
 documents are then matched in full: exact runs are chained in order, with penalties for words of
 the item that are missing between them, which bridges light edits and inserted matter but not the
-shared frame of two sentences made alike.
+shared frame of two sentences made alike. Short or widely parted passages are decided by the words
+carried alone, counting only parts that have a term few items have.
 
 Test items are few by nature; they are sent to the tasks in blocks of a fixed number, so that
 what is sent has a bound whatever the number of items.
@@ -34,6 +35,7 @@ TERM = 3
 STRETCH, STEP, RAREST = 8, 4, 4
 BREAK_COST, ITEM_GAP_COST, DOC_GAP_COST, DOC_GAP_MAX = 1.0, 2.0, 0.02, 60
 LEAST_SCORE = 18.5
+OWN_ITEMS, OWN_TERMS, EDIT_GAP, ITEM_GAP_MAX = 2, 4, 2, 8
 SPREAD = 8
 # Characters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -78,6 +80,11 @@ class Items:
         codes = [self.codes(t) for t in tokens]
         self.terms = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
         self.slots = [np.searchsorted(self.terms, c) for c in codes]
+        # Terms that few items have; items of the same words count once.
+        spread = np.zeros(len(self.terms), np.int64)
+        for slots in {tuple(s.tolist()) for s in self.slots}:
+            spread[list(set(slots))] += 1
+        self.own = spread <= OWN_ITEMS
         self.places = []
         for slots in self.slots:
             at = defaultdict(list)
@@ -110,11 +117,11 @@ def best_chain(runs: list[tuple[int, int, int]]) -> tuple[float, int, int]:
     carried = [n for _, _, n in runs]
     matched = [n for _, _, n in runs]
     for j, (dj, ij, nj) in enumerate(runs):
-        for k in range(j - 1, max(-1, j - 60), -1):
+        for k in range(j - 1, -1, -1):
             dk, ik, nk = runs[k]
             item_gap, doc_gap = ij - (ik + nk), dj - (dk + nk)
             lap = max(0, -item_gap, -doc_gap)
-            if lap >= nj or ij <= ik or dj <= dk or doc_gap > DOC_GAP_MAX or item_gap > 8:
+            if lap >= nj or ij <= ik or dj <= dk or doc_gap > DOC_GAP_MAX or item_gap > ITEM_GAP_MAX:
                 continue
             cost = BREAK_COST + ITEM_GAP_COST * max(0, item_gap) + DOC_GAP_COST * max(0, doc_gap)
             total = score[k] + nj - lap - cost
@@ -126,6 +133,32 @@ def best_chain(runs: list[tuple[int, int, int]]) -> tuple[float, int, int]:
     return (score[best], carried[best], matched[best]) if best is not None else (0.0, 0, 0)
 
 
+def own_chain(runs: list[tuple[int, int, int]], own: np.ndarray) -> tuple[int, int]:
+    """(words carried, words matched) of the chain that carries most, whatever lies between its parts in the document.
+
+    Runs with at most ``EDIT_GAP`` words between them form parts; a part of at least ``SPREAD`` words counts
+    if one of its runs has a term that few items have (``own``, by item position). Shorter parts far
+    from each other are no passage: long documents gather an item's phrases by chance.
+    """
+    parts = []
+    for run in sorted(runs):
+        d, i, n = run
+        best = (d, i, d + n, i + n, n, n, bool(own[i : i + n - TERM + 1].any()))
+        for start, item, end, stop, carried, matched, has in parts:
+            lap = max(0, stop - i, end - d)
+            if lap < n and i > item and d > start and i - stop <= EDIT_GAP and d - end <= EDIT_GAP:
+                gap, more = max(0, i - stop), n - lap
+                best = max(best, (start, item, d + n, i + n, carried + gap + more, matched + more, has or best[6]), key=lambda x: (x[4], x[6]))
+        parts.append(best)
+    parts = sorted(part for part in parts if part[6] and part[4] >= SPREAD)
+    totals = []
+    for d, i, _, _, carried, matched, _ in parts:
+        before = [t for t, k in zip(totals, parts, strict=False) if k[2] <= d and 0 <= i - k[3] <= ITEM_GAP_MAX]
+        more = max(before, default=(0, 0))
+        totals.append((more[0] + carried, more[1] + matched))
+    return max(totals, default=(0, 0))
+
+
 def _runs(doc_slots: np.ndarray, where: np.ndarray, places: dict[int, list[int]]) -> list[tuple[int, int, int]]:
     """Maximal runs of equal words between a document (term slots at positions) and an item."""
     by_diagonal: dict[int, list[int]] = defaultdict(list)
@@ -183,18 +216,25 @@ def search_shard(texts: list[str | None], items: Items) -> list[tuple[int, int,
         for a in range(0, max(1, len(item_slots) - STRETCH + STEP), STEP):
             rare = a + np.argsort(df[a : a + STRETCH], kind="stable")[:RAREST]
             seeds.update(rare[df[rare] > 0].tolist())
-        if len(seeds) < 2:
-            continue
+        own = items.own[item_slots]
+        owned: dict[int, set[int]] = defaultdict(set)
+        for s in np.unique(item_slots[own]).tolist():
+            for d in by_owner[first[s] : first[s + 1]].tolist():
+                owned[d].add(s)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for seed in seeds:
             s = item_slots[seed]
             for d, p in zip(by_owner[first[s] : first[s + 1]].tolist(), by_place[first[s] : first[s + 1]].tolist(), strict=True):
                 hits[d].append((p - seed, seed))
-        for d, offsets in hits.items():
-            if len(offsets) < 3 or not _meet(sorted(offsets)):
-                continue
+        met = {d for d, offsets in hits.items() if len(offsets) > 2 and _meet(sorted(offsets))}
+        for d in sorted(met | {d for d, terms in owned.items() if len(terms) >= OWN_TERMS}):
             span = slice(begins[d], begins[d + 1])
-            score, carried, matched = best_chain(_runs(slot[span], place[span], items.places[i]))
+            runs = _runs(slot[span], place[span], items.places[i])
+            score, carried, matched = best_chain(runs) if d in met else (0.0, 0, 0)
+            if score < LEAST_SCORE or carried < MIN_WORDS:
+                alone = own_chain(runs, own) if len(owned.get(d, ())) >= OWN_TERMS else (0, 0)
+                if alone[0] >= MIN_WORDS:
+                    score, (carried, matched) = LEAST_SCORE, alone
             found.append((d, i, score, carried, matched))
     return found
 

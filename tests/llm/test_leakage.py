@@ -74,3 +74,14 @@ def test_empty_tables_and_blocks(spark, monkeypatch):
     assert leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").count() == 0
     monkeypatch.setattr(leakage, "ITEM_BLOCK", 1)
     assert leaks(spark, [" ".join(ITEM), " ".join(OTHER)]) == {(0, 1), (1, 2)}
+
+
+def test_short_edited_and_parted_passages(spark):
+    """Short passages with changed words, and two halves around a long insertion."""
+    edit = lambda a, n, *at: " ".join("changed" if k in at else w for k, w in enumerate(ITEM[a : a + n]))
+    docs = [noise(40, i) + " " + x + " " + noise(40, i + 50) for i, x in enumerate((
+        edit(10, 20, 10), edit(30, 22, 11), edit(20, 26, 8, 17), edit(50, 30, 7, 15, 22), edit(10, 18, 9),
+        edit(10, 12) + " " + noise(61, 90) + " " + edit(22, 12), edit(10, 12) + " " + noise(900, 91) + " " + edit(22, 12),
+        edit(10, 9) + " " + noise(61, 92) + " " + edit(19, 9),
+    ))]
+    assert leaks(spark, docs) == {(i, 1) for i in (0, 1, 2, 3, 5, 6)}
