@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 #: Share of a table's rows from which a key counts as hot.
 HOT_SHARE = 0.02
+#: A key with more than one row in so many is joined apart, in frames of at least ``SPLIT_FROM`` rows.
+HOT_PARTS = 256
+SPLIT_FROM = 200_000
 
 
 def key_state(
@@ -66,6 +69,30 @@ def distinct_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFram
     return pairs.groupBy(F.col(key).alias("key")).agg(F.count("_one").alias(name))
 
 
+def hot_values(rows: DataFrame, key: str) -> list:
+    """Values of ``key`` with at least 1/``HOT_PARTS`` of the rows (so at most ``HOT_PARTS``); none in small frames."""
+    total = rows.count()
+    if total < SPLIT_FROM:
+        return []
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counted.where(F.col("_n") * HOT_PARTS >= total).select(key).collect()]
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """Join ``rows`` with ``lookup`` (one row per ``key``) where one key may hold any share of ``rows``.
+
+    The ``hot`` keys (by default those of :func:`hot_values`, for which ``rows`` should be cut) are
+    joined by broadcast, which has a bound whatever the size of either side; all others by shuffle.
+    ``how`` is ``inner`` or ``left``; null keys match nothing.
+    """
+    hot = hot_values(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(lookup, key, how)
+    warm = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    some = rows.where(warm).join(F.broadcast(lookup.where(F.col(key).isin(hot))), key, how)
+    return some.unionByName(rows.where(~warm).join(lookup, key, how))
+
+
 def hot_keys(state: DataFrame, count_col: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys of a compact state that hold at least ``share`` of all rows (null keys count as rows only).
 
@@ -75,19 +102,32 @@ def hot_keys(state: DataFrame, count_col: str, share: float = HOT_SHARE) -> Data
     return state.where(F.col("key").isNotNull() & (F.col(count_col) >= F.lit(share) * total))
 
 
+def joined_rows(fact: DataFrame, fact_key: str, group: str, dimension: DataFrame, key: str) -> DataFrame:
+    """Rows of ``fact LEFT JOIN dimension`` per value of ``group``: ``key``, ``n``.
+
+    Both inputs are reduced by the join key first (the fact by group as well), the states are
+    joined, counts multiplied, and the products rolled up. A fact without partner counts once;
+    a dimension key held twice counts twice, as the join does.
+    """
+    left = fact.groupBy(F.col(fact_key).alias("_k"), F.col(group).alias("key")).agg(F.count(F.lit(1)).alias("_l"))
+    right = dimension.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_r"))
+    times = left.join(right, "_k", "left").withColumn("_n", F.col("_l") * F.coalesce("_r", F.lit(1)))
+    return times.groupBy("key").agg(F.sum("_n").alias("n"))
+
+
 def found_hot(episode: DataFrame, podcast: DataFrame, metric: DataFrame, canonical: DataFrame) -> DataFrame:
     """Hot podcast_id values of ``episode`` and hot guest_appearances values of the metric table.
 
-    Each table goes through the eager join with its dimension: the fact table is reduced to a
-    state per key, joined as states, and the hot keys are read from the joined states.
+    Episodes go through the eager join with their show and metric rows through the eager join with
+    their entity, so the counts are those of the joined rows (show ids and entity ids are unique);
+    repeats included, null keys left out.
     """
-    shows = join_states(key_state(episode, "podcast_id", "e"), key_state(podcast, "id", "p"), "e", "p", "left")
-    counts = join_states(
-        key_state(metric, "guest_appearances", "m"), key_state(canonical, "observation_count", "c"), "m", "c", "left"
-    )
-    parts = [("podcast_id", hot_keys(shows, "e_n")), ("guest_appearances", hot_keys(counts, "m_n"))]
+    parts = [
+        ("podcast_id", joined_rows(episode, "podcast_id", "podcast_id", podcast, "id")),
+        ("guest_appearances", joined_rows(metric, "canonical_id", "guest_appearances", canonical, "am_entity_id")),
+    ]
     by_show, by_count = (
-        hot.select(F.lit(field).alias("key_field"), F.col("key").cast("long").alias("key_value"))
-        for field, hot in parts
+        hot_keys(state, "n").select(F.lit(field).alias("key_field"), F.col("key").cast("long").alias("key_value"))
+        for field, state in parts
     )
     return by_show.unionByName(by_count)

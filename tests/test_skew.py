@@ -35,7 +35,25 @@ def test_empty(spark):
 def test_found(spark):
     episode = frame(spark, [(1, "x", 5)] * 50 + [(2, "y", 5)], "podcast_id long, key string, n int")
     podcast = frame(spark, [(2,), (3,)], "id long")
-    metric = frame(spark, [(3,)] * 3 + [(None,)], "guest_appearances int")
-    canonical = frame(spark, [(3,)], "observation_count int")
+    metric = frame(spark, [("e", 3), ("f", 3), (None, 3), ("e", None)], "canonical_id string, guest_appearances int")
+    canonical = frame(spark, [("e", 3)], "am_entity_id string, guest_appearances int")
     got = {tuple(r) for r in skew.found_hot(episode, podcast, metric, canonical).collect()}
     assert got == {("podcast_id", 1), ("guest_appearances", 3)}
+
+
+def test_join_hot_is_the_plain_join(spark, monkeypatch):
+    rows = frame(spark, [(7 if i % 3 else i if i % 5 else None, i) for i in range(300)], "k long, v long")
+    lookup = frame(spark, [(i, f"n{i}") for i in range(0, 300, 2)] + [(7, "hot"), (None, "x")], "k long, name string")
+    monkeypatch.setattr(skew, "SPLIT_FROM", 10)
+    monkeypatch.setattr(skew, "HOT_PARTS", 4)
+    assert skew.hot_values(rows, "k") == [7]
+    for how in ("inner", "left"):
+        got = Counter(map(tuple, skew.join_hot(rows, lookup, "k", how).collect()))
+        assert got == Counter(map(tuple, rows.join(lookup, "k", how).collect()))
+
+
+def test_joined_rows(spark):
+    fact = frame(spark, [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (None, "b")], "k long, g string")
+    dimension = frame(spark, [(1, 0), (1, 0), (2, 0), (None, 0)], "k long, g int")
+    got = {(r.key, r.n) for r in skew.joined_rows(fact, "k", "g", dimension, "k").collect()}
+    assert got == {("a", 5), ("b", 2)}
