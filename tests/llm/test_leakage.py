@@ -67,12 +67,12 @@ def test_brute_force_agreement(spark):
     assert leaks(spark, docs) == want
 
 
-def test_empty_tables_and_blocks(spark, monkeypatch):
+def test_empty_tables_and_a_small_map(spark, monkeypatch):
     assert leaks(spark, [" ".join(ITEM)], [(1, None)]) == set()
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string")
     assert leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").count() == 0
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 1)
+    monkeypatch.setattr(leakage, "MAP_BITS", 6)  # foreign terms pass and are left out by the joins
     assert leaks(spark, [" ".join(ITEM), " ".join(OTHER)]) == {(0, 1), (1, 2)}
 
 
@@ -83,5 +83,24 @@ def test_short_edited_and_parted_passages(spark):
         edit(10, 20, 10), edit(30, 22, 11), edit(20, 26, 8, 17), edit(50, 30, 7, 15, 22), edit(10, 18, 9),
         edit(10, 12) + " " + noise(61, 90) + " " + edit(22, 12), edit(10, 12) + " " + noise(900, 91) + " " + edit(22, 12),
         edit(10, 9) + " " + noise(61, 92) + " " + edit(19, 9),
+        edit(10, 11) + " " + noise(80, 93) + " " + edit(21, 11), edit(10, 15) + " " + noise(80, 94) + " " + edit(25, 15),
+        edit(40, 24, 4, 9, 14, 19), edit(40, 28, 4, 9, 14, 19, 24), " ".join(w + (" added" if k % 3 == 2 else "") for k, w in enumerate(ITEM)),
+        edit(0, 90, *range(4, 90, 5)),
     ))]
-    assert leaks(spark, docs) == {(i, 1) for i in (0, 1, 2, 3, 5, 6)}
+    assert leaks(spark, docs) == {(i, 1) for i in (0, 1, 2, 3, 5, 6, 8, 9, 10, 11, 12, 13)}
+
+
+def test_terms_hold_in_texts_of_any_batch():
+    """A term's hash and place depend on its words alone, and no term spans two texts."""
+    texts = [["a", "b", "c", "d"], [], ["x"], ["b", "c", "d"], ["a", "b"]]
+    term, owner, place = leakage.term_hashes(texts)
+    alone = [leakage.term_hashes([t])[0].tolist() for t in texts]
+    assert [term[owner == i].tolist() for i in range(5)] == alone
+    assert place.tolist() == [0, 1, 0] and alone[0][1] == alone[3][0]
+
+
+def test_repeated_rows_and_texts(spark):
+    df = spark.createDataFrame([(1, " ".join(ITEM)), (1, " ".join(ITEM)), (1, " ".join(OTHER)), (None, " ".join(ITEM))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(ITEM)), (7, " ".join(OTHER)), (8, " ".join(ITEM)), (None, " ".join(ITEM))], "item_id long, text string")
+    got = sorted(tuple(r)[:2] for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [(1, 7), (1, 8)]

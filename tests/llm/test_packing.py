@@ -34,23 +34,49 @@ def test_hot_size(spark):
     assert out.container_id.nunique() == 1000
 
 
-def test_plan_matches_item_by_item_best_fit():
-    rng = random.Random(2)
-    for _ in range(30):
-        capacity = rng.randrange(5, 60)
-        sizes = sorted((rng.randrange(1, capacity) for _ in range(200)), reverse=True)
-        gaps = []
-        for s in sizes:
-            fits = [g for g in gaps if g >= s]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - s)
-            else:
-                gaps.append(capacity - s)
-        counts = {s: sizes.count(s) for s in set(sizes)}
-        plan, opened = packing.plan_best_fit(counts, capacity)
-        assert opened <= len(gaps) + 1
-        assert sum(end - first for _, first, end, _, _ in plan) == len(sizes)
+def test_ranges_match_like_one_sweep(spark, monkeypatch):
+    """Brackets closed over many ranges are those one stack closes, whatever the ranges."""
+    rng = random.Random(4)
+    sizes = [rng.randrange(1, 60) for _ in range(300)]
+    gaps = [rng.randrange(1, 60) for _ in range(250)]
+    docs = spark.createDataFrame([(str(i), 0, s, s) for i, s in enumerate(sizes)], "key string, part int, n_tokens long, value long")
+    slots = spark.createDataFrame(list(enumerate(gaps)), "cid long, value long")
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)
+    pairs, left = packing.sweep_round(spark, docs, slots, 550)
+    pairs, left = pairs.collect(), left.collect()
+    events = sorted([(s, 0) for s in sizes] + [(g, 1) for g in gaps])
+    stack, want = [], []
+    for value, is_gap in events:
+        if not is_gap:
+            stack.append(value)
+        elif stack:
+            want.append((value, stack.pop()))
+    assert sorted((gaps[p.cid], p.value) for p in pairs) == sorted(want)
+    assert sorted(d.value for d in left) == sorted(stack)
+    assert len({p.key for p in pairs} | {d.key for d in left}) == len(sizes) and len({p.cid for p in pairs}) == len(pairs)
+
+
+def test_between_ranges():
+    intervals, rest = packing.between_ranges({0: (2, 3), 1: (1, 1), 3: (4, 0), 4: (0, 2)})
+    assert intervals == [(1, 0, 1, 0, 2), (3, 0, 1, 1, 0), (3, 1, 3, 0, 1)]
+    assert rest == {4: 2}
+
+
+def test_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(None, 5)] * 7 + [(3, 5)] * 7 + [(3, 25)], "doc long, n long")
+    out = packing.pack(df, "doc", "n", 10).toPandas()
+    assert out.groupby("container_id").n_tokens.sum().max() <= 10
+    assert len(out) == 17 and out.container_id.nunique() == 10 and out.doc.isna().sum() == 7
+
+
+@pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no tokenizer file")
+def test_fill_of_the_test_documents(spark, sf_dir):
+    """Within 1% of the least number of containers that the tokens allow."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = packing.pack_documents(docs).toPandas()
+    assert out.groupby("container_id").n_tokens.sum().max() <= packing.CAPACITY
+    assert out.container_id.nunique() <= -(-out.n_tokens.clip(lower=1).sum() // packing.CAPACITY) * 1.01 + 1
+    assert out.groupby("doc_id").part.count().shape[0] == docs.count()
 
 
 def test_empty(spark):
