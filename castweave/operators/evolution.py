@@ -20,9 +20,9 @@ def week_cutoff(week: Column, tz: str = "UTC") -> Column:
     return F.to_utc_timestamp(F.date_add(week, 7).cast("timestamp"), tz)
 
 
-def first_seen(appearance: DataFrame) -> dict[str, DataFrame]:
+def first_seen(appearance: DataFrame, tz: str = "UTC") -> dict[str, DataFrame]:
     """Frames ``key..., week`` of people, undirected edges and shows; undated episodes don't count."""
-    dated = appearance.where("published_at IS NOT NULL").withColumn("week", week_of(F.col("published_at")))
+    dated = appearance.where("published_at IS NOT NULL").withColumn("week", week_of(F.col("published_at"), tz))
     guests = dated.where("role = 'guest'").select("episode_id", "week", F.col("person_id").alias("g"))
     hosts = dated.where("role = 'host'").select("episode_id", F.col("person_id").alias("h"))
     met = guests.join(hosts, "episode_id").where("g <> h")

@@ -7,7 +7,7 @@ searches run from all sources in one frame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from castweave.runtime import cut
@@ -75,39 +75,48 @@ def pagerank(
     state = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select(
         "id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")
     ))
+    # One action a round: the change of this one and the dangling mass for the next.
+    sums = (F.sum("change"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)))
+    loose = state.agg(sums[1]).scalar() if iterations else 0.0
     for _ in range(iterations):
-        loose = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         inflow = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("inflow")
         )
         new = F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + loose / n) + (1 - damping) / n
         state = state.join(inflow, "id", "left").select("id", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         state = cut(state)
-        if tolerance is not None and state.agg(F.sum("change")).first()[0] < n * tolerance:
+        change, loose = state.agg(*sums).first()
+        if tolerance is not None and change < n * tolerance:
             break
+        loose = F.lit(loose)
         state = state.drop("change")
     return state.select("id", "rank")
 
 
-def hits(edges: DataFrame, nodes: DataFrame, iterations: int = 50) -> DataFrame:
-    """``id, hub, authority`` on the weighted graph, each normalised to sum 1."""
-    total = lambda df, c: df.agg(F.sum(c)).scalar()
+def hits(edges: DataFrame, nodes: DataFrame, iterations: int = 500, tolerance: float | None = 1e-8) -> DataFrame:
+    """``id, hub, authority`` on the weighted graph, each normalised to sum 1.
+
+    Stops when the hubs' summed change falls below ``tolerance`` (never with ``None``) or after ``iterations``.
+    """
     edges = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    weigh = lambda hub: edges.join(hub.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(
+        F.sum(F.col("hub") * F.col("weight")).alias("authority")
+    )
     hub = edges.select(F.col("src").alias("id"), F.lit(1.0).alias("hub")).distinct()
     for _ in range(iterations):
-        authority = edges.join(hub.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(
-            F.sum(F.col("hub") * F.col("weight")).alias("authority")
-        )
-        raw = edges.join(authority.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(
-            F.sum(F.col("authority") * F.col("weight")).alias("hub")
+        raw = edges.join(weigh(hub).select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(
+            F.sum(F.col("authority") * F.col("weight")).alias("raw")
         )
-        raw = cut(raw)
-        hub = raw.withColumn("hub", F.col("hub") / total(raw, "hub"))
-    authority = edges.join(hub.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(
-        F.sum(F.col("hub") * F.col("weight")).alias("authority")
-    )
-    authority = cut(authority)
-    authority = authority.withColumn("authority", F.col("authority") / total(authority, "authority"))
+        both = cut(raw.join(hub, "id"))
+        total = both.agg(F.sum("raw")).first()[0]
+        if not total:
+            break
+        hub = both.select("id", (F.col("raw") / total).alias("hub"))
+        if tolerance is not None and both.agg(F.sum(F.abs(F.col("raw") / total - F.col("hub")))).first()[0] < tolerance:
+            break
+    authority = cut(weigh(hub))
+    total = authority.agg(F.sum("authority")).first()[0] or 1.0
+    authority = authority.withColumn("authority", F.col("authority") / total)
     return nodes.join(hub, "id", "left").join(authority, "id", "left").select(
         "id", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority")
     )
@@ -140,24 +149,62 @@ def distances(steps: DataFrame, sources: DataFrame) -> DataFrame:
     return seen
 
 
-def closeness(dist: DataFrame, nodes: DataFrame, sampled: bool) -> DataFrame:
-    """``id, closeness`` of every node from the distances of :func:`distances`.
+def source_sums(steps: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``id, reached, total`` of every node: how many other ``sources`` reach it, and the sum of their distances.
+
+    The searches of all sources run at once: a node carries one bit per source, 64 to a number, so a level costs one
+    row per edge of the frontier whatever the number of sources. That number has a bound (:data:`SAMPLE`).
+    """
+    numbered = sources.select("id", (F.row_number().over(Window.orderBy(F.col("id").cast("string"))) - 1).alias("_k"))
+    many = sources.count()
+    steps = cut(steps.select(F.col("src").alias("id"), F.col("dst").alias("next")))
+    places = range(-(-many // 64))
+    bit = lambda i: F.when(F.floor(F.col("_k") / 64) == i, F.expr("shiftleft(1L, cast(_k % 64 as int))"))
+    state = cut(
+        nodes.select("id").join(numbered, "id", "left").select(
+            "id", *(F.coalesce(bit(i), F.lit(0).cast("long")).alias(f"s{i}") for i in places),
+            *(F.coalesce(bit(i), F.lit(0).cast("long")).alias(f"n{i}") for i in places),
+            F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("total"),
+        )
+    )
+    level = 0
+    fresh = F.lit(False)
+    for i in places:
+        fresh = fresh | (F.col(f"n{i}") != 0)
+    while many:
+        level += 1
+        front = state.where(fresh).select("id", *(f"n{i}" for i in places))
+        came = front.join(steps, "id").groupBy(F.col("next").alias("id")).agg(*(F.bit_or(f"n{i}").alias(f"c{i}") for i in places))
+        first = {f"n{i}": F.coalesce(F.col(f"c{i}").bitwiseAND(F.bitwise_not(F.col(f"s{i}"))), F.lit(0).cast("long")) for i in places}
+        state = state.drop(*(f"n{i}" for i in places)).join(came, "id", "left").withColumns(first)
+        bits = sum((F.bit_count(f"n{i}") for i in places), F.lit(0))
+        state = cut(
+            state.select(
+                "id", *(F.col(f"s{i}").bitwiseOR(F.col(f"n{i}")).alias(f"s{i}") for i in places), *(f"n{i}" for i in places),
+                (F.col("reached") + bits).alias("reached"), (F.col("total") + bits * level).alias("total"),
+            )
+        )
+        if not state.agg(F.bool_or(fresh)).first()[0]:
+            break
+    return state.select("id", "reached", "total")
+
+
+def closeness(sums: DataFrame, nodes: DataFrame, sampled: bool) -> DataFrame:
+    """``id, closeness`` of every node from :func:`source_sums`.
 
     Exact: reached/sum times reached/(n-1). Sampled: reached/sum over the sample, without factor.
     """
     n = nodes.agg(F.count(F.lit(1))).scalar()
-    sums = dist.where("dist > 0").groupBy(F.col("node").alias("id")).agg(
-        F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("total")
-    )
-    value = F.col("reached") / F.col("total")
+    value = F.when(F.col("total") > 0, F.col("reached") / F.col("total"))
     if not sampled:
         value = value * F.col("reached") / (n - 1)
-    return nodes.join(sums, "id", "left").select("id", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+    return sums.select("id", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
-def average_path(dist: DataFrame) -> DataFrame:
+def average_path(sums: DataFrame) -> DataFrame:
     """One row: mean distance of the pairs of a source and another node it reaches; 0 without pairs."""
-    return dist.where("dist > 0").agg(F.coalesce(F.avg("dist"), F.lit(0.0)).alias("average_path"))
+    mean = F.try_divide(F.sum("total"), F.sum("reached"))
+    return sums.agg(F.coalesce(mean, F.lit(0.0)).alias("average_path"))
 
 
 def betweenness(steps: DataFrame, nodes: DataFrame, dist: DataFrame, k: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castweave.operators import graph as G
+from castweave.operators import network as N
 from castweave.operators import paths as P
 from castweave.operators import relational as ops
 from castweave.plans.listings import COHOSTS
@@ -111,7 +112,7 @@ def _hits_sql(rounds: int) -> str:
 
 @query(_hits_sql(ROUNDS))
 def hits_k(c: Catalog) -> DataFrame:
-    scores = G.hits(G.person_edges(c.appearance), nodes(c), iterations=ROUNDS)
+    scores = G.hits(G.person_edges(c.appearance), nodes(c), iterations=ROUNDS, tolerance=None)
     return scores.select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
@@ -129,7 +130,8 @@ def _levels_sql() -> str:
 
 def _distances(c: Catalog) -> DataFrame:
     steps = G.both_ways(G.undirected(G.person_edges(c.appearance)))
-    return G.distances(steps, G.first_by_text(nodes(c), SAMPLE))
+    people = cut(nodes(c))
+    return G.source_sums(steps, people, G.first_by_text(people, SAMPLE))
 
 
 @query(
@@ -177,7 +179,6 @@ def betweenness_sampled(c: Catalog) -> DataFrame:
 
 
 # The queries above are bounded to what unrolled SQL can bear; those below run the operators' own parameters, without SQL.
-PATH_SAMPLE = 200
 
 
 @query()
@@ -190,29 +191,35 @@ def hits(c: Catalog) -> DataFrame:
     return G.hits(G.person_edges(c.appearance), nodes(c))
 
 
-def _searched(c: Catalog, sample: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
-    """(steps, nodes, distances, sampled): all nodes are sources where there are at most ``sample``."""
-    steps = cut(G.both_ways(G.undirected(G.person_edges(c.appearance))))
-    people = cut(nodes(c))
-    sampled = people.count() > sample
-    return steps, people, G.distances(steps, G.first_by_text(people, sample) if sampled else people), sampled
+def _graph(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    return cut(G.both_ways(G.undirected(G.person_edges(c.appearance)))), cut(nodes(c))
 
 
 @query()
 def closeness(c: Catalog) -> DataFrame:
-    _, people, dist, sampled = _searched(c, G.SAMPLE)
-    return G.closeness(dist, people, sampled)
+    return N.closeness(*_graph(c))
 
 
 @query()
 def betweenness(c: Catalog) -> DataFrame:
-    steps, people, dist, sampled = _searched(c, G.SAMPLE)
-    return G.betweenness(steps, people, dist, G.SAMPLE if sampled else None)
+    return N.betweenness(*_graph(c))
 
 
 @query()
 def average_path(c: Catalog) -> DataFrame:
-    return G.average_path(_searched(c, PATH_SAMPLE)[2])
+    steps, people = _graph(c)
+    sources, _ = N.sources(people, N.PATH_SAMPLE)
+    return G.average_path(G.source_sums(steps, people, sources))
+
+
+@query()
+def person_metrics(c: Catalog) -> DataFrame:
+    return N.person_metrics(c.appearance)
+
+
+@query()
+def podcast_metrics(c: Catalog) -> DataFrame:
+    return N.podcast_metrics(c.appearance)
 
 
 def _labels_sql() -> str:

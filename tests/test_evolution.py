@@ -57,9 +57,9 @@ def test_ranks_histogram_sample(spark):
 def test_stream_ignores_redelivery(spark, tmp_path):
     rows = [(1, at("2024-01-02"), "a"), (1, at("2024-01-02"), "a"), (2, at("2024-01-09"), "b")]
     spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").coalesce(1).write.parquet(str(tmp_path / "d"))
-    out = weekly.run_once(spark, str(tmp_path / "d"), "*.parquet", lambda s: weekly.first_by_key(s, "ts", ["event_id"]))
+    out = weekly.run_once(spark, str(tmp_path / "d"), "*.parquet", lambda s: weekly.first_by_key(s, "ts", ["event_id"]), ["event_id"])
     assert out.count() == 2
-    counts = weekly.run_once(spark, str(tmp_path / "d"), "*.parquet", lambda s: weekly.weekly_counts(s, "ts", "event_type"))
+    counts = weekly.run_once(spark, str(tmp_path / "d"), "*.parquet", lambda s: weekly.weekly_counts(s, "ts", "event_type"), ["w", "event_type"])
     assert {(str(r.w.start)[:10], r.events) for r in counts.collect()} == {("2024-01-01", 2), ("2024-01-08", 1)}
 
 
@@ -72,3 +72,12 @@ def test_hosts_prune_chunks(spark):
     kept, left = ops.prune_single_tokens(person, have.withColumn("person_id", F.lit(6)))
     assert [r.id for r in kept.collect()] == [6] and left.count() == 2
     assert sorted(r["count"] for r in ops.chunks(episode, "id", 2).groupBy("chunk").count().collect()) == [1, 2]
+
+
+def test_stream_of_many_batches_counts_once(spark, tmp_path):
+    for i in range(3):
+        rows = [(10 * i + k, at("2024-01-02"), "a") for k in range(i + 1)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    build = lambda s: weekly.weekly_counts(s, "ts", "event_type")
+    out = weekly.run_once(spark, str(tmp_path / "d"), "*.parquet", build, ["w", "event_type"], files_per_batch=1)
+    assert [(str(r.w.start)[:10], r.events) for r in out.collect()] == [("2024-01-01", 6)]

@@ -53,7 +53,8 @@ def test_distances_closeness_betweenness_components(spark, seed):
     dist = G.distances(steps, nodes)
     want = {(s, v): bfs(near, s)[0][v] for s in range(n) for v in bfs(near, s)[0]}
     assert {(r.src, r.node): r.dist for r in dist.collect()} == want
-    close = {r.id: r.closeness for r in G.closeness(dist, nodes, sampled=False).collect()}
+    sums = G.source_sums(steps, nodes, nodes)
+    close = {r.id: r.closeness for r in G.closeness(sums, nodes, sampled=False).collect()}
     between = dict.fromkeys(range(n), 0.0)
     for s in range(n):
         d, paths, order = bfs(near, s)
@@ -71,7 +72,7 @@ def test_distances_closeness_betweenness_components(spark, seed):
         assert ours[v] == pytest.approx(between[v] / ((n - 1) * (n - 2)))
     labels = {r.id: r.component for r in G.components(steps, nodes).collect()}
     assert labels == {v: min(bfs(near, v)[0]) for v in range(n)}
-    average = G.average_path(dist).first()[0]
+    average = G.average_path(sums).first()[0]
     assert average == pytest.approx(sum(want.values()) / sum(1 for x in want.values() if x))
 
 
@@ -113,7 +114,7 @@ def test_pagerank_and_hits(spark):
         auth = [sum(hub[a] * w for a, b, w in edges if b == v) for v in range(n)]
         hub = [sum(auth[b] * w for a, b, w in edges if a == v) for v in range(n)]
         hub = [h / sum(hub) for h in hub]
-    scores = {r.id: r.hub for r in G.hits(frame, nodes, iterations=20).collect()}
+    scores = {r.id: r.hub for r in G.hits(frame, nodes, iterations=20, tolerance=None).collect()}
     for v in range(n):
         assert scores[v] == pytest.approx(hub[v], abs=1e-9)
 
@@ -137,7 +138,31 @@ def test_empty(spark):
     assert G.pagerank(edges, nodes).count() == 0
     assert G.hits(edges, nodes, iterations=2).count() == 0
     dist = G.distances(steps, nodes)
-    assert dist.count() == 0 and G.average_path(dist).first()[0] == 0.0
+    assert dist.count() == 0 and G.average_path(G.source_sums(steps, nodes, nodes)).first()[0] == 0.0
     assert G.components(steps, nodes).count() == 0
     assert G.betweenness(steps, nodes, dist).count() == 0
     assert G.structure(G.undirected(edges), nodes).first().nodes == 0
+
+
+def test_many_sources_share_numbers(spark):
+    """More than 64 sources: distances by bits are those of one search per source."""
+    n = 150
+    edges = [(i, (i * 7 + 3) % n) for i in range(0, n, 2)] + [(i, i + 1) for i in range(0, 90)]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    nodes, undirected = frames(spark, n, edges)
+    near, sources = neighbours(n, edges), sorted(range(n), key=str)[:130]
+    want = {v: [0, 0] for v in range(n)}
+    for s in sources:
+        for v, d in bfs(near, s)[0].items():
+            if d:
+                want[v][0] += 1
+                want[v][1] += d
+    got = G.source_sums(G.both_ways(undirected), nodes, G.first_by_text(nodes, 130)).collect()
+    assert {r.id: [r.reached, r.total] for r in got} == want
+
+
+def test_hits_stops_when_nothing_changes(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (1, 2, 1), (2, 0, 1), (3, 2, 4), (0, 2, 1)], "src long, dst long, weight long")
+    nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    long, short = (sorted((r.id, round(r.hub, 6)) for r in G.hits(edges, nodes, **k).collect()) for k in ({"iterations": 60, "tolerance": None}, {"tolerance": 1e-9}))
+    assert long == short
