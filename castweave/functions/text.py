@@ -46,10 +46,10 @@ def _fold_table() -> tuple[str, str]:
     import unicodedata
 
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)):
         char = chr(code).lower()
-        base = unicodedata.normalize("NFKD", char)[0]
-        if len(char) == 1 and base != char and base.isascii() and base.isalpha():
+        base = unicodedata.normalize("NFKD", char)[0].lower()
+        if len(char) == 1 and base != char and base.isascii() and base.isalnum():
             pairs.append((char, base))
     pairs = sorted(set(pairs))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -53,7 +55,7 @@ def alpha_tokens(normalized: Column) -> Column:
 def blocking_keys(normalized: Column) -> Column:
     """Up to seven keys: token sets, first and last, first two, of plain and of cleaned tokens."""
     t, c = alpha_tokens(normalized), text.clean_tokens(normalized)
-    joined = lambda a: F.array_join(F.array_sort(a), ":")
+    joined = lambda a: F.array_join(F.array_sort(a), " ")
     first, last = text.first_or_empty, text.last_or_empty
     second = lambda a: F.coalesce(F.try_element_at(a, F.lit(2)), F.lit(""))
     keys = F.array(
@@ -72,7 +74,7 @@ def block_pairs(profile: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame
     """``left_id < right_id`` with their shared keys, from blocks of 2 to ``block_limit`` members.
 
     Block sizes are counted before pairs are made, so an oversized block never pairs up. The limit is
-    part of this blocking scheme; linking without any limit is the name-variant operator's task.
+    part of this blocking scheme; :func:`block_class_pairs` gives what the blocks above it hold.
     """
     keyed = profile.select("entity_id", F.explode(blocking_keys(F.col("normalized_name"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, block_limit))
@@ -82,6 +84,30 @@ def block_pairs(profile: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame
     return pairs.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("key")).alias("blocking_keys"))
 
 
+def block_class_pairs(profile: DataFrame, block_limit: int = BLOCK_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership): what blocks above ``block_limit`` hold, without pairing all their members.
+
+    Members are put in classes by their cleaned tokens, whatever the order; ``membership(entity_id, class_id)`` names
+    the smallest member. Pairs ``left_id < right_id`` are those of representatives that share an oversized block
+    and whose cleaned tokens agree but for one, in either direction: that is all :func:`viable` accepts but close
+    last names, which share the block of their prefix and meet here by a letter deleted from the last name.
+    """
+    clean = F.array_sort(text.clean_tokens(F.col("normalized_name")))
+    keyed = profile.select("entity_id", "normalized_name", F.explode(blocking_keys(F.col("normalized_name"))).alias("key"))
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block_limit).select("key")
+    inside = cut(keyed.join(large, "key", "left_semi").select("entity_id", "normalized_name", F.array_join(clean, " ").alias("class")).distinct())
+    first = inside.groupBy("class").agg(F.min("entity_id").alias("class_id"), F.min_by("normalized_name", "entity_id").alias("name"))
+    membership = inside.join(first.select("class", "class_id"), "class").select("entity_id", "class_id")
+    tokens = text.clean_tokens(F.col("name"))
+    each = F.transform(F.filter(tokens, lambda t: F.lit(True)), lambda t: F.array_join(F.array_sort(F.array_except(tokens, F.array(t))), " "))
+    last = text.last_or_empty(tokens)
+    cut_one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda i: F.concat(F.lit("last:"), text.first_or_empty(tokens), F.lit(":"), last.substr(F.lit(1), i - 1), last.substr(i + 1, F.length(last))))
+    whole = F.array(F.array_join(F.array_sort(tokens), " "), F.concat(F.lit("last:"), text.first_or_empty(tokens), F.lit(":"), last))
+    near = first.select("class_id", F.explode(F.array_distinct(F.concat(each, cut_one, whole))).alias("k")).where("k <> ''")
+    left, right = near.withColumnRenamed("class_id", "left_id"), near.withColumnRenamed("class_id", "right_id")
+    return left.join(right, "k").where("left_id < right_id").select("left_id", "right_id").distinct(), membership
+
+
 def viable(left: Column, right: Column) -> Column:
     """Whether two normalised names may be one person: equal sets, a close last name, or two shared tokens."""
     a, b = text.clean_tokens(left), text.clean_tokens(right)
@@ -260,41 +286,88 @@ def pair_features(joined: DataFrame, first_names: dict[str, float] | None = None
     return base.select("left_id", "right_id", *(value.cast("double").alias(name) for name, value in features.items()))
 
 
+# What counts for and against a match, with its weight; conditions over the features, where {x} is a
+# feature with null as 0, and seq, tok, cseq, ctok, nseq, ntok are the similarities of plain, cleaned and nickname-free
+# names (0 falls back to the plainer one).
+SCORE_PARTS = {"seq": 0.22, "cseq": 0.28, "tok": 0.08, "ctok": 0.22}
+SCORE_RULES = (
+    ("same token set", 0.16, "{same_token_set} <> 0"),
+    ("same cleaned token set", 0.14, "{same_cleaned_token_set} <> 0 AND {same_token_set} = 0"),
+    ("same name after stripping quoted nickname", 0.22,
+     "{one_name_has_quoted_nickname} <> 0 AND {same_nickname_stripped_token_set} <> 0 AND {same_cleaned_token_set} = 0"),
+    ("one name contains the other's tokens", 0.08, "{one_name_contains_other_tokens} <> 0"),
+    ("high nickname-stripped similarity", 0.06, "ntok >= 0.9 AND nseq >= 0.9"),
+    ("high cleaned-name similarity", 0.05, "ctok >= 0.8 AND tok < ctok"),
+    ("same first and last token", 0.08, "{same_first_token} <> 0 AND {same_last_token} <> 0"),
+    ("same cleaned first and last token", 0.07,
+     "{same_cleaned_first_token} <> 0 AND {same_cleaned_last_token} <> 0 AND NOT ({same_first_token} <> 0 AND {same_last_token} <> 0)"),
+    ("same last token", 0.04,
+     "{same_last_token} <> 0 AND {same_first_token} = 0 AND NOT ({same_cleaned_first_token} <> 0 AND {same_cleaned_last_token} <> 0)"),
+    ("shared podcast with strong name overlap", "least(0.09, 0.04 + 0.015 * {shared_podcast_count})", "{shared_podcast_count} > 0 AND ctok >= 0.67"),
+    ("shared podcast with weak name overlap", "least(0.025, 0.01 + 0.005 * {shared_podcast_count})", "{shared_podcast_count} > 0 AND ctok < 0.67"),
+    ("nearby in graph", 0.03, "{shared_podcast_count} = 0 AND {graph_distance_proxy} = 4"),
+    ("similar podcast genres", "least(0.05, 0.05 * {genre_jaccard})", "{genre_jaccard} <> 0"),
+    ("same observed role mix", "least(0.03, 0.03 * {role_jaccard})", "{role_jaccard} <> 0"),
+    ("low cleaned-name overlap", -0.18, "ctok < 0.5"),
+    ("no strong cleaned-name match", -0.08, "ctok < 0.67 AND {same_cleaned_token_set} = 0"),
+    ("low token overlap without shared podcast", -0.10, "tok < 0.34 AND {shared_podcast_count} = 0"),
+    ("no graph proximity", -0.05, "{has_graph_distance_proxy} = 0 AND ctok < 0.5"),
+)
+# Most that a score may be, where a condition holds.
+SCORE_GUARDS = (
+    ("distinct group names are not person matches", 0.2, "{both_group_names} > 0 AND {same_group_name_tokens} = 0"),
+    ("group name compared with person name", 0.3, "{one_group_name} > 0"),
+)
+ACCEPT, REJECT = 0.9, 0.2
+
+
+def _read(expression: str | float) -> str:
+    """A rule's expression over the columns of a feature row."""
+    similar = {"seq": "{name_sequence_ratio}", "tok": "{token_jaccard}"}
+    similar["cseq"] = "coalesce(nullif({cleaned_name_sequence_ratio}, 0), seq)"
+    similar["ctok"] = "coalesce(nullif({cleaned_token_jaccard}, 0), tok)"
+    similar["nseq"] = "coalesce(nullif({nickname_stripped_name_sequence_ratio}, 0), cseq)"
+    similar["ntok"] = "coalesce(nullif({nickname_stripped_token_jaccard}, 0), ctok)"
+    out = str(expression)
+    for name in ("nseq", "ntok", "cseq", "ctok", "seq", "tok"):
+        out = re.sub(rf"\b{name}\b", lambda _, n=name: f"({similar[n]})", out)
+    return re.sub(r"\{(\w+)\}", r"coalesce(\1, 0D)", out)
+
+
 def guarded(score: Column) -> Column:
     """Distinct group names are at most 0.2 alike, a group and a person at most 0.3."""
-    apart = (F.col("both_group_names") > 0) & (F.col("same_group_name_tokens") == 0)
-    mixed = F.col("one_group_name") > 0
-    return F.when(apart, F.least(score, F.lit(0.2))).when(mixed, F.least(score, F.lit(0.3))).otherwise(score)
+    out = score
+    for _, most, when in reversed(SCORE_GUARDS):
+        out = F.when(F.expr(_read(when)) & (score > most), F.lit(most)).otherwise(out)
+    return out
+
+
+def _plain_score() -> Column:
+    total = sum((F.lit(w) * F.expr(_read(part)) for part, w in SCORE_PARTS.items()), F.lit(0.0))
+    for _, weight, when in SCORE_RULES:
+        total = total + F.when(F.expr(_read(when)), F.expr(f"cast({_read(weight)} AS double)")).otherwise(F.lit(0.0))
+    return total
 
 
 def heuristic_score() -> Column:
-    """Score of a feature row; a similarity of 0 falls back to the plainer one, as documented."""
-    c = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    or_ = lambda name, other: F.when(c(name) == 0, other).otherwise(c(name))
-    yes = lambda name: c(name) != 0
-    seq, tok = c("name_sequence_ratio"), c("token_jaccard")
-    cseq, ctok = or_("cleaned_name_sequence_ratio", seq), or_("cleaned_token_jaccard", tok)
-    nseq, ntok = or_("nickname_stripped_name_sequence_ratio", cseq), or_("nickname_stripped_token_jaccard", ctok)
-    shows, near = c("shared_podcast_count"), c("graph_distance_proxy")
-    add = lambda test, value: F.when(test, F.lit(value) if isinstance(value, float) else value).otherwise(F.lit(0.0))
-    score = 0.22 * seq + 0.28 * cseq + 0.08 * tok + 0.22 * ctok
-    score += add(yes("same_token_set"), 0.16)
-    score += add(yes("same_cleaned_token_set") & ~yes("same_token_set"), 0.14)
-    score += add(yes("one_name_has_quoted_nickname") & yes("same_nickname_stripped_token_set") & ~yes("same_cleaned_token_set"), 0.22)
-    score += add(yes("one_name_contains_other_tokens"), 0.08)
-    score += add((ntok >= 0.9) & (nseq >= 0.9), 0.06)
-    score += add((ctok >= 0.8) & (tok < ctok), 0.05)
-    ends = yes("same_first_token") & yes("same_last_token")
-    clean_ends = yes("same_cleaned_first_token") & yes("same_cleaned_last_token")
-    score += F.when(ends, 0.08).when(clean_ends, 0.07).when(yes("same_last_token"), 0.04).otherwise(0.0)
-    strong, weak = F.least(F.lit(0.09), 0.04 + 0.015 * shows), F.least(F.lit(0.025), 0.01 + 0.005 * shows)
-    score += F.when(shows > 0, F.when(ctok >= 0.67, strong).otherwise(weak)).when(near == 4, 0.03).otherwise(0.0)
-    score += F.least(F.lit(0.05), 0.05 * c("genre_jaccard")) + F.least(F.lit(0.03), 0.03 * c("role_jaccard"))
-    score -= add(ctok < 0.5, 0.18)
-    score -= add((ctok < 0.67) & ~yes("same_cleaned_token_set"), 0.08)
-    score -= add((tok < 0.34) & (shows == 0), 0.10)
-    score -= add(~yes("has_graph_distance_proxy") & (ctok < 0.5), 0.05)
-    return F.bround(F.greatest(F.lit(0.0), F.least(guarded(score), F.lit(0.999))), 6)
+    """Score of a feature row from the tables of rules, between 0 and 0.999."""
+    return F.bround(F.greatest(F.lit(0.0), F.least(guarded(_plain_score()), F.lit(0.999))), 6)
+
+
+def score_reasons() -> Column:
+    """Names of the rules that hold for a feature row, in the order of the tables, and of the guard that cut its score."""
+    held = [F.when(F.expr(_read(when)), F.lit(reason)) for reason, _, when in SCORE_RULES]
+    guard = F.lit(None).cast("string")
+    for reason, most, when in reversed(SCORE_GUARDS):
+        guard = F.when(F.expr(_read(when)) & (_plain_score() > most), F.lit(reason)).otherwise(guard)
+    return F.array_compact(F.array(*held, guard))
+
+
+def scored(features: DataFrame, accept: float = ACCEPT, reject: float = REJECT) -> DataFrame:
+    """``left_id, right_id, score, reasons, decision``: accepted from ``accept`` on, rejected up to ``reject``, else a candidate."""
+    out = features.select("left_id", "right_id", heuristic_score().alias("score"), score_reasons().alias("reasons"))
+    decision = F.when(F.col("score") >= accept, "accepted").when(F.col("score") <= reject, "rejected").otherwise("candidate")
+    return out.withColumn("decision", decision)
 
 
 def merge_targets(pairs: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -334,9 +407,9 @@ def apply_merges(targets: DataFrame, probability: str) -> DataFrame:
 def apply_alias_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of ``names(name, podcast)`` with the target of the rule that fits, or their own name.
 
-    ``rules(alias, target, podcast)`` is a short list; a blank podcast fits everywhere.
+    A rule of ``rules(alias, target, podcast)`` with a blank podcast fits everywhere.
     """
-    r = F.broadcast(rules.select("alias", "target", F.col("podcast").alias("scope")))
+    r = rules.select("alias", "target", F.col("podcast").alias("scope"))
     fits = (F.col("name") == F.col("alias")) & ((F.col("scope") == "") | (F.col("scope") == F.col("podcast")))
     return names.join(r, fits, "left").select("name", "podcast", F.coalesce("target", "name").alias("resolved"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castweave.functions import text
@@ -10,6 +10,13 @@ from castweave.functions.similarity import name_match_score
 from castweave.runtime import cut
 
 
+# Answers without a path.
+UNKNOWN = "Sorry, we could not find {} in the database. Did you mean {}?"
+UNCONNECTED = "No connection found between {} and {}."
+#: Queries that are sent to all names at once.
+QUERY_BLOCK = 1_000
+
+
 def merge_edges(events: DataFrame) -> DataFrame:
     """Parallel edges of ``events(person, show, kind, date)`` merged to one per pair.
 
@@ -69,7 +76,7 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def explain_path(path: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
-    """One row ``message`` for a path of node keys; ``names(node, name)`` gives what is shown."""
+    """One row ``message`` for a path of node keys, none without a path; ``names(node, name)`` gives what is shown."""
     hop = path.select(F.col("position").alias("p"), F.col("node").alias("before"))
     pairs = path.join(hop, F.col("position") == F.col("p") + 1, "left").drop("p")
     is_show = F.col("node").startswith("show")
@@ -87,7 +94,30 @@ def explain_path(path: DataFrame, edges: DataFrame, names: DataFrame) -> DataFra
     part = F.struct("position", F.concat(link, F.coalesce("name", "node")).alias("t"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["t"]), "")
     end = F.when(F.count(F.lit(1)) == 1, " is the same person.").otherwise(".")
-    return kinds.agg(F.concat(whole, end).alias("message"))
+    return kinds.groupBy().agg(F.count(F.lit(1)).alias("n"), F.concat(whole, end).alias("message")).where("n > 0").select("message")
+
+
+def connect(edges: DataFrame, names: DataFrame, source: str, target: str) -> DataFrame:
+    """``found, message, suggestion`` for two typed names of people of ``names(node, name)``: one row.
+
+    The source is looked up first; an unknown name gives the most similar known one. Two known people
+    without a path between them are told so.
+    """
+    spark = edges.sparkSession
+    people = names.where(F.col("node").startswith("person"))
+    asked = spark.createDataFrame([(source,), (target,)], "query string").distinct()
+    known = {r["query"]: r["resolved"] for r in resolve_names(asked, people.select("name")).collect()}
+    schema = "found boolean, message string, suggestion string"
+    for typed in (source, target):
+        if known[typed] is None:
+            best = suggest_names(asked.where(F.col("query") == typed), people.select("name")).first()
+            near = best["name"] if best else ""
+            return spark.createDataFrame([(False, UNKNOWN.format(typed, near), near)], schema)
+    ends = {r["name"]: r["node"] for r in people.where(F.col("name").isin(list(known.values()))).groupBy("name").agg(F.min("node").alias("node")).collect()}
+    path = shortest_path(edges, ends[known[source]], ends[known[target]])
+    row = explain_path(path, edges, names).first()
+    message = row["message"] if row else UNCONNECTED.format(known[source], known[target])
+    return spark.createDataFrame([(row is not None, message, "")], schema)
 
 
 def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
@@ -103,12 +133,18 @@ def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
 def suggest_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Most similar name per query by the better of plain and word-sorted ratio; ties to the smaller name.
 
-    Queries are what users typed: few, so they are broadcast to the names in blocks and every name
-    is scored where it lies; only one best name per query and task is shuffled.
+    Queries are what users typed. They are sent to the names in blocks of at most :data:`QUERY_BLOCK`, every
+    name is scored where it lies, and only one best name per query and task is shuffled.
     """
-    asked = queries.select("query", text.normalize_graph(F.col("query")).alias("q"))
-    known = names.select("name", text.normalize_graph(F.col("name")).alias("k"))
-    pairs = known.join(F.broadcast(asked), F.lit(True))
-    scored = pairs.withColumn("score", name_match_score("q", "k"))
-    best = scored.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    asked = cut(queries.select("query", text.normalize_graph(F.col("query")).alias("q")).distinct())
+    known = names.select("name", text.normalize_graph(F.col("name")).alias("k")).distinct()
+    blocks = asked.count() // QUERY_BLOCK + 1
+    number = F.row_number().over(Window.orderBy("query")) if blocks > 1 else F.lit(0)
+    numbered = asked.withColumn("_block", F.pmod(number, F.lit(blocks)))
+    best = None
+    for block in range(blocks):
+        pairs = known.join(F.broadcast(numbered.where(F.col("_block") == block).select("query", "q")), F.lit(True))
+        scored = pairs.withColumn("score", name_match_score("q", "k"))
+        part = scored.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+        best = part if best is None else best.unionByName(part)
     return best.select("query", "b.name", (-F.col("b.s")).alias("score"))

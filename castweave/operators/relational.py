@@ -147,7 +147,7 @@ def preferred(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
     return df.join(best, keys).where(F.col(priority) == F.col("_best")).drop("_best")
 
 
-def materialise(candidate: DataFrame, appearance: DataFrame, least: float = 0.95) -> DataFrame:
+def materialise(candidate: DataFrame, appearance: DataFrame, least: float = 0.90) -> DataFrame:
     """Guests from extraction candidates: preferred pass, confident, cleaned, no hosts, one row per name.
 
     The confidence kept for a repeated name is the one of the candidate read last: the largest raw

@@ -5,14 +5,17 @@ rewrites the text to ``year|month|day|hour|minute|second|fraction|half|zone``, s
 a few pattern tests and no Python. Instants come out as milliseconds since 1970-01-01 UTC.
 
 Local times without a zone get the zone their feed states. Feeds that state none are estimated:
-each candidate zone (an offset history) is tried on all the feed's local times, and the one with
+each offset history of the zone database is tried on all the feed's local times, and the one with
 the fewest violations (published after it was fetched) wins, then the one that leaves the least
-lag before fetching. The trial is aggregated per (feed, candidate) before anything is compared,
-so a feed with a third of all rows is as cheap as any other.
+lag before fetching, where one late fetch counts little. The trial is aggregated per (feed,
+candidate) before anything is compared, so a feed with a third of all rows is as cheap as any other.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import zoneinfo
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +45,6 @@ PLAIN_ZONES = {
     "nst": -210, "ndt": -150, "ast": -240, "adt": -180, "est": -300, "edt": -240, "cst": -360, "cdt": -300,
     "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
 }
-# Candidate offset histories for feeds that state no zone.
-CANDIDATES = (
-    "Pacific/Honolulu", "America/Anchorage", "America/Los_Angeles", "America/Phoenix", "America/Denver",
-    "America/Chicago", "America/New_York", "America/Halifax", "America/St_Johns", "America/Sao_Paulo",
-    "UTC", "Europe/London", "Europe/Berlin", "Europe/Athens", "Europe/Moscow", "Asia/Dubai", "Asia/Kolkata",
-    "Asia/Kathmandu", "Asia/Bangkok", "Asia/Shanghai", "Asia/Tokyo", "Australia/Adelaide", "Australia/Sydney",
-    "Pacific/Auckland",
-)
 _UNIX_ZERO = "timestamp_ntz'1970-01-01 00:00:00'"
 _YMD = r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
@@ -105,14 +100,27 @@ def zone_names(spark: SparkSession) -> list[str]:
     return sorted(n for n in names if "/" in n and not n.startswith("SystemV") or n in ("UTC", "GMT"))
 
 
-def zone_abbreviations() -> dict[str, int]:
-    """``zone|abbreviation`` to minutes east of UTC where a zone used it with one offset since 2000.
+@lru_cache
+def offset_histories(first_year: int, last_year: int) -> tuple[str, ...]:
+    """One zone for every different history of offsets within the years, by rule from the installed zone database.
 
-    Built by rule from the installed zone database, sampled on two days of every month.
+    Sampled on four days of every month; of zones with one history the smallest name stands for all.
     """
-    import datetime as dt
-    import zoneinfo
+    days = [dt.datetime(y, m, d, 12, tzinfo=dt.UTC) for y in range(first_year, last_year + 1) for m in range(1, 13) for d in (1, 9, 17, 25)]
+    seen: dict[tuple, str] = {}
+    for name in sorted(zoneinfo.available_timezones()):
+        if name == "UTC" or "/" in name and not name.startswith(("Etc/", "posix/", "right/", "SystemV/")):
+            zone = zoneinfo.ZoneInfo(name)
+            seen.setdefault(tuple(day.astimezone(zone).utcoffset() for day in days), name)
+    return tuple(sorted(seen.values()))
+
 
+@lru_cache
+def zone_abbreviations() -> tuple[dict[str, int], tuple[str, ...]]:
+    """``zone|abbreviation`` to minutes east of UTC where a zone used it with one offset since 2000, and those with more.
+
+    Built by rule from the installed zone database, sampled on two days of every month.
+    """
     seen: dict[str, set[int]] = {}
     days = [dt.datetime(y, m, d, 12, tzinfo=dt.UTC) for y in (2000, 2006, 2012, 2018, 2024, 2030) for m in range(1, 13) for d in (8, 22)]
     for name in zoneinfo.available_timezones():
@@ -123,7 +131,7 @@ def zone_abbreviations() -> dict[str, int]:
             local = day.astimezone(zone)
             if (abbr := local.tzname()) and abbr.isalpha():
                 seen.setdefault(f"{name}|{abbr.lower()}", set()).add(int(local.utcoffset().total_seconds() // 60))
-    return {k: v.pop() for k, v in seen.items() if len(v) == 1}
+    return {k: min(v) for k, v in seen.items() if len(v) == 1}, tuple(sorted(k for k, v in seen.items() if len(v) > 1))
 
 
 def _literal_map(table: dict) -> Column:
@@ -219,14 +227,17 @@ def read_times(df: DataFrame, value: str, zone: str) -> DataFrame:
     minutes = (off_h * 60 + off_m) * F.when(F.regexp_extract(zone_text, offset, 1) == "-", -1).otherwise(1)
     explicit = F.when((off_h <= 14) & (off_m < 60), minutes)
     local = F.when(F.col(zone).isin(zones), F.col(zone))
+    fixed, moved = zone_abbreviations()
     abbr = F.when(zone_text.isin("z", "ut", "utc", "gmt"), F.lit(0)).otherwise(
         F.coalesce(
-            F.element_at(_literal_map(zone_abbreviations()), F.concat_ws("|", local, zone_text)),
+            F.element_at(_literal_map(fixed), F.concat_ws("|", local, zone_text)),
             F.element_at(_literal_map(PLAIN_ZONES), zone_text),
         )
     )
     stated = zone_text != ""
     names = F.element_at(_literal_map(by_lower), F.regexp_replace(zone_text, r"^\[|\]$", ""))
+    # An abbreviation that the feed's zone used with several offsets means the one in force at that wall time.
+    names = F.coalesce(names, F.when(F.concat_ws("|", local, zone_text).isin(*moved), local))
     return out.withColumns(
         {
             "offset_min": F.when(stated, F.coalesce(explicit, abbr)),
@@ -236,20 +247,31 @@ def read_times(df: DataFrame, value: str, zone: str) -> DataFrame:
     ).drop("_form", "_zone")
 
 
-def estimate_zones(read: DataFrame, feed: str, fetched: str, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
+def instant_ms() -> Column:
+    """Instant of the columns of :func:`read_times` in ms: by offset, or by the zone stated; null where neither tells."""
+    by_offset = F.when(F.col("offset_min").isNotNull(), _ms(F.col("wall")) - F.col("offset_min") * 60000)
+    return F.coalesce(by_offset, wall_to_ms(F.col("wall"), F.col("zone_name"))) + F.col("millis")
+
+
+def estimate_zones(read: DataFrame, feed: str, fetched: str, candidates: tuple[str, ...] | None = None) -> DataFrame:
     """Zone per feed whose local times state none: ``feed``, ``estimated_zone``, ``violations``, ``local_times``.
 
-    Fewest times after fetching win; ties go to the least summed lag, then to the zone's name.
-    Feeds without such times, and times without ``fetched``, give no row.
+    Every offset history of the years the times lie in is tried (``candidates`` to try others). Fewest times after
+    fetching win; ties go to the least summed logarithm of the lag, then to the zone's name. Feeds without such
+    times, and times without ``fetched``, give no row.
     """
     open_ = read.where(
         F.col("wall").isNotNull() & F.col("zone_name").isNull() & ~F.col("zone_stated") & F.col(fetched).isNotNull()
     ).select(F.col(feed).alias("feed"), "wall", F.unix_millis(F.col(fetched).cast("timestamp")).alias("_fetched"))
+    if candidates is None:
+        years = open_.agg(F.min(F.year("wall")).alias("lo"), F.max(F.year("wall")).alias("hi")).first()
+        # Before 1970 and after 2037 zones follow the rules of those years.
+        candidates = offset_histories(*(min(max(y or 2000, 1970), 2037) for y in (years["lo"], years["hi"])))
     tried = open_.withColumn("zone", F.explode(F.array(*map(F.lit, candidates))))
     lag = F.col("_fetched") - _ms(F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("wall")))
     score = tried.groupBy("feed", "zone").agg(
         F.sum((lag < 0).cast("long")).alias("violations"),
-        F.sum(F.abs(lag)).alias("_lag"),
+        F.round(F.sum(F.log1p(F.abs(lag) / 60000)), 6).alias("_lag"),
         F.count(F.lit(1)).alias("local_times"),
     )
     best = score.groupBy("feed").agg(F.min(F.struct("violations", "_lag", "zone", "local_times")).alias("b"))
@@ -259,7 +281,7 @@ def estimate_zones(read: DataFrame, feed: str, fetched: str, candidates: tuple[s
 
 
 def normalise_times(
-    df: DataFrame, key: str, value: str, zone: str, feed: str, fetched: str, candidates: tuple[str, ...] = CANDIDATES
+    df: DataFrame, key: str, value: str, zone: str, feed: str, fetched: str, candidates: tuple[str, ...] | None = None
 ) -> DataFrame:
     """``key``, ``value_ms`` and ``basis`` of every row of ``df``.
 

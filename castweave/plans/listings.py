@@ -365,7 +365,7 @@ def select_confidence_band(c: Catalog) -> DataFrame:
     GROUP BY 1, 2"""
 )
 def materialise_appearances(c: Catalog) -> DataFrame:
-    return ops.materialise(c.candidate, c.appearance)
+    return ops.materialise(c.candidate, c.appearance, least=0.95)
 
 
 @query("SELECT id, name FROM person WHERE normalized_name <> '' AND NOT contains(normalized_name, ' ')")

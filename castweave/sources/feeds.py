@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castweave.functions import text
+from castweave.operators.timestamps import instant_ms, read_times
 from castweave.runtime import ship
 
 ITEM = T.StructType(
@@ -94,24 +95,41 @@ def _filled(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+# Fixed value: what an item without title is called.
+UNTITLED = "Untitled episode"
+
+
 def guid_of(id_: Column, guid: Column, link: Column, title: Column, published: Column) -> Column:
     """First of id, guid and link that is not blank, else a hash of title and date."""
-    made = F.concat(F.lit("generated:"), F.sha2(F.concat_ws("|", F.coalesce(title, F.lit("")), F.coalesce(published, F.lit(""))), 256))
+    named = F.coalesce(_filled(title), F.lit(UNTITLED))
+    made = F.concat(F.lit("generated:"), F.sha2(F.concat_ws("|", named, F.coalesce(F.trim(published), F.lit(""))), 256))
     return F.coalesce(_filled(id_), _filled(guid), _filled(link), made)
 
 
 def episodes_of(parsed: DataFrame) -> DataFrame:
-    """Episodes of parsed feeds: guid fallback, bounded texts, three-valued explicit flag."""
-    i = parsed.select("feed_id", F.explode("items").alias("i"))
-    return i.select(
+    """Episodes of parsed feeds: guid fallback, bounded texts, three-valued explicit flag, time in UTC, raw fields.
+
+    ``published_at`` is the instant of the item's date, or of its update; null where neither can be read.
+    ``raw`` maps the kept fields of the item, without blank ones.
+    """
+    i = parsed.select("feed_id", F.explode("items").alias("i")).withColumn("_date", F.coalesce(_filled(F.col("i.published")), _filled(F.col("i.updated"))))
+    read = read_times(i.withColumn("_zone", F.lit("UTC")), "_date", "_zone")
+    instant = F.coalesce(F.col("epoch_ms"), instant_ms())
+    kept = F.map_filter(
+        F.create_map(*(x for f in ("id", "guid", "title", "link", "published", "updated", "duration", "explicit") for x in (F.lit(f), F.col(f"i.{f}")))),
+        lambda _, v: v != "",
+    )
+    return read.select(
         "feed_id",
         guid_of(*(F.col(f"i.{x}") for x in ("id", "guid", "link", "title", "published"))).alias("guid"),
-        text.bounded_text(F.trim("i.title"), 500).alias("title"),
+        text.bounded_text(F.coalesce(_filled(F.col("i.title")), F.lit(UNTITLED)), 500).alias("title"),
         F.trim("i.description").alias("description"),
-        F.coalesce(_filled(F.col("i.published")), _filled(F.col("i.updated"))).alias("published_at"),
+        F.timestamp_millis(instant).alias("published_at"),
+        text.bounded_text(F.col("i.link"), 1000).alias("episode_url"),
         text.bounded_text(F.col("i.enclosure"), 1000).alias("enclosure_url"),
         F.col("i.duration").alias("duration_raw"),
         text.explicit_flag(F.col("i.explicit")).alias("explicit"),
+        kept.alias("raw"),
     )
 
 
