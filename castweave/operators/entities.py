@@ -392,9 +392,9 @@ def apply_merges(targets: DataFrame, probability: str) -> DataFrame:
     """``source_id, target_id``: each source joins its most probable target, chains followed to their end.
 
     The sequential merge of one pair after another is replaced by this order-free form: among the
-    targets of a source the one of highest probability (then smallest id) is taken.
+    targets of a source the one of highest probability (unknown ones last, then the smallest id) is taken.
     """
-    best = targets.groupBy("source_id").agg(F.min(F.struct((-F.col(probability)).alias("p"), "target_id")).alias("b"))
+    best = targets.groupBy("source_id").agg(F.min(F.struct((-F.coalesce(probability, F.lit(-1.0))).alias("p"), "target_id")).alias("b"))
     links = cut(best.select("source_id", F.col("b.target_id").alias("target_id")))
     while True:
         up = links.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("up"))

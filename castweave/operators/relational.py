@@ -227,13 +227,71 @@ def diverse_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> Da
     return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", dice, F.col(key)).limit(n)
 
 
-def histogram(df: DataFrame, value: str, bins: int = 24) -> DataFrame:
-    """Equal-width bins over the positive values, the last one closed; empty bins don't appear."""
-    positive = df.select(F.col(value).cast("double").alias("v")).where("v > 0")
-    bounds = positive.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    place = F.when(hi > lo, F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
-    return positive.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+def histogram(df: DataFrame, value: str, bins: int = 24, log: bool = False) -> DataFrame:
+    """Equal-width bins over the positive values, or over their decimal logarithms; the last one closed.
+
+    Empty bins don't appear.
+    """
+    x = F.log10(F.col(value)) if log else F.col(value).cast("double")
+    values = df.where(F.col(value) > 0).select(x.alias("v"))
+    edges = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
+    return values.join(F.broadcast(edges)).groupBy(bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def most_common(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key``, ``value``: the most frequent non-null value of each key, ties to the smaller one."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias("_b"))
+    return best.select(key, F.col("_b.v").alias(value))
+
+
+# Short names of the rankings by a stored rank; any other name is read as the first.
+METRIC_RANKS = {
+    "pr": "pagerank_rank", "hub": "hub_rank", "auth": "authority_rank", "degree": "degree_rank",
+    "bt": "betweenness_rank", "close": "closeness_rank",
+}
+
+
+def ranked_by_metric(metric: DataFrame, rank: str = "pr", query: str = "", limit: int = 250) -> DataFrame:
+    """People of the latest run with a representative person, by a stored rank and then by name; repeats collapse.
+
+    ``appearances`` goes by guest appearances, most first.
+    """
+    latest = metric.where(F.col("run_id") == metric.agg(F.max("run_id")).scalar())
+    shown = latest.where(F.col("representative_person_id").isNotNull())
+    if query:
+        shown = search(shown, "display_name", query)
+    if rank == "appearances":
+        order = [F.desc_nulls_last("guest_appearances")]
+    else:
+        order = [F.asc_nulls_last(METRIC_RANKS.get(rank, METRIC_RANKS["pr"]))]
+    return shown.distinct().orderBy(*order, "display_name", "canonical_id").limit(limit)
+
+
+def feed_health(podcast: DataFrame, episode: DataFrame, state: DataFrame) -> DataFrame:
+    """One row per show: activity, distinct episodes, the newest one, and the state of its feed.
+
+    ``state(podcast_id, last_status, failure_count)`` may lack shows. ``problem`` tells failures, an error status or
+    no episodes.
+    """
+    counted = episode.groupBy("podcast_id").agg(F.countDistinct("id").alias("episodes"), F.max(ms(F.col("published_at"))).alias("newest_ms"))
+    rows = podcast.select(F.col("id").alias("podcast_id"), "name", "active", "is_interview_podcast")
+    rows = rows.join(counted, "podcast_id", "left").join(state.select("podcast_id", "last_status", "failure_count"), "podcast_id", "left")
+    rows = rows.withColumns({"episodes": F.coalesce("episodes", F.lit(0)), "failure_count": F.coalesce("failure_count", F.lit(0))})
+    bad = (F.col("failure_count") > 0) | (F.col("episodes") == 0) | (F.coalesce("last_status", F.lit(0)) >= 400)
+    return rows.withColumn("problem", bad)
+
+
+def feed_health_sums(rows: DataFrame) -> DataFrame:
+    """One row of counts over :func:`feed_health`."""
+    n = lambda test: F.count(F.when(test, 1))
+    return rows.agg(
+        F.count(F.lit(1)).alias("feeds"), n(F.col("active")).alias("active"), n(~F.col("is_interview_podcast")).alias("non_interview"),
+        n(F.col("last_status") < 400).alias("succeeded"), n(F.col("failure_count") > 0).alias("failed"),
+        n(F.col("episodes") == 0).alias("without_episodes"), F.sum("episodes").alias("episodes"), n(F.col("problem")).alias("problems"),
+    )
 
 
 def crosstab(df: DataFrame, a: str, b: str, weight: str) -> DataFrame:

@@ -247,20 +247,26 @@ def name_distances(c: Catalog) -> DataFrame:
     return joined.select("left_id", "right_id", sim.osa("l", "r").alias("osa"), sim.seq_ratio("l", "r").alias("ratio"))
 
 
-@query(
-    """WITH a AS (SELECT DISTINCT left_id, right_id, match_probability FROM candidate_pair WHERE status = 'accepted' AND left_id <> right_id),
+MERGES = """WITH a AS (SELECT DISTINCT left_id, right_id, match_probability FROM candidate_pair WHERE status = 'accepted' AND left_id <> right_id),
     k AS (SELECT am_entity_id AS id, coalesce(observation_count, 0) AS o, length(display_name) AS n, display_name AS d FROM canonical),
     j AS (SELECT a.*, l.o > r.o OR (l.o = r.o AND (l.n > r.n OR (l.n = r.n AND (l.d < r.d OR (l.d = r.d AND l.id < r.id))))) AS lw
         FROM a JOIN k l ON l.id = left_id JOIN k r ON r.id = right_id)
     SELECT DISTINCT CASE WHEN lw THEN left_id ELSE right_id END AS target_id, CASE WHEN lw THEN right_id ELSE left_id END AS source_id,
         match_probability FROM j"""
-)
+
+
+@query(MERGES)
 def merge_target_choice(c: Catalog) -> DataFrame:
     accepted = c.raw("candidate_pair").where("status = 'accepted'").select("left_id", "right_id", "match_probability")
     return E.merge_targets(accepted.distinct(), c.raw("canonical")).distinct()
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS ({MERGES}), b AS (SELECT source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id
+        ORDER BY coalesce(match_probability, -1) DESC, target_id) AS r FROM t) WHERE r = 1),
+    f AS (SELECT source_id, target_id FROM b UNION SELECT f.source_id, b.target_id FROM f JOIN b ON b.source_id = f.target_id)
+    SELECT source_id, target_id FROM f WHERE target_id NOT IN (SELECT source_id FROM b)"""
+)
 def merges_applied(c: Catalog) -> DataFrame:
     return E.apply_merges(merge_target_choice(c), "match_probability")
 
@@ -390,7 +396,7 @@ def episode_upsert(c: Catalog) -> DataFrame:
 
 @query(
     """SELECT parse_id, CASE WHEN trim(coalesce(guid, '')) <> '' THEN trim(guid) WHEN trim(coalesce(episode_url, '')) <> '' THEN trim(episode_url)
-    ELSE 'generated:' || sha256(coalesce(title, '') || '|' || coalesce(published_at, '')) END AS key FROM parsed_episode"""
+    ELSE 'generated:' || sha256(coalesce(nullif(trim(title), ''), 'Untitled episode') || '|' || coalesce(trim(published_at), '')) END AS key FROM parsed_episode"""
 )
 def guid_fallback(c: Catalog) -> DataFrame:
     none = F.lit(None).cast("string")

@@ -64,3 +64,19 @@ def test_names(spark):
     typo = spark.createDataFrame([("Joe Rogain",)], "query string")
     assert P.suggest_names(typo, names).first().name == "Joe Rogan"
     assert P.suggest_names(typo, names.limit(0)).count() == 0
+
+
+def test_answers_without_a_path(spark):
+    edges = P.merge_edges(spark.createDataFrame(
+        [("person:1", "show:1", "host", dt.date(2024, 1, 1)), ("person:2", "show:1", "guest", dt.date(2024, 1, 1)), ("person:3", "show:2", "host", dt.date(2024, 1, 1))],
+        "person string, show string, kind string, date date"))
+    names = spark.createDataFrame(
+        [("person:1", "Ann Lee"), ("person:2", "Bob Roy"), ("person:3", "Cid Poe"), ("show:1", "One"), ("show:2", "Two")], "node string, name string"
+    )
+    ask = lambda a, b: tuple(P.connect(edges, names, a, b).first())
+    assert ask("ann lee", "Bob Roy")[0] and ask("Ann Lee", "Bob Roy")[1].startswith("Ann Lee is a host of One")
+    assert ask("Ann Lee", "Cid Poe") == (False, "No connection found between Ann Lee and Cid Poe.", "")
+    assert ask("An Lee", "Cid Po") == (False, "Sorry, we could not find An Lee in the database. Did you mean Ann Lee?", "Ann Lee")
+    assert ask("Ann Lee", "Bob Roi")[2] == "Bob Roy"
+    assert P.explain_path(P.shortest_path(edges, "person:1", "person:3"), edges, names).count() == 0
+    assert {r.query: r.name for r in P.suggest_names(spark.createDataFrame([("An Lee",), ("Bob Roi",)], "query string"), names.select("name")).collect()} == {"An Lee": "Ann Lee", "Bob Roi": "Bob Roy"}

@@ -99,3 +99,37 @@ def test_empty_and_repeated(spark):
     assert T.found_times(spark.createDataFrame([], SCHEMA)).count() == 0
     row = (1, 1, "1684858880", "10", None, None, "")
     assert T.found_times(spark.createDataFrame([row, row], SCHEMA)).count() == 2
+
+
+def test_withheld_zones_are_estimated(spark):
+    """Feeds fetched within the hour: at least nine of ten instants of a withheld zone come out right, late fetches or not."""
+    import random
+    import zoneinfo
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    zones = ["Asia/Tehran", "Asia/Karachi", "Asia/Yangon", "America/New_York", "Europe/Berlin", "Australia/Sydney", "America/Caracas", "Asia/Kathmandu", "UTC", "Pacific/Auckland"]
+    for feed, zone in enumerate(zones):
+        for k in range(60):
+            at = dt.datetime(2023, 1, 1, tzinfo=UTC) + dt.timedelta(days=6 * k, minutes=rng.randrange(1440))
+            late = dt.timedelta(days=40) if k % 13 == 0 else dt.timedelta(minutes=rng.randrange(1, 50))
+            key = 100 * feed + k
+            rows.append((key, feed, at.astimezone(zoneinfo.ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), None, None, at + late, "clash"))
+            want[key] = int(at.timestamp() * 1000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.parse_id: r for r in T.normalise_times(df, "parse_id", "published_at", "feed_timezone", "podcast_id", "fetched_at").collect()}
+    assert len(got) == len(rows) and {r.basis for r in got.values()} <= {"estimated", "none"}
+    assert sum(got[k].value_ms == v for k, v in want.items()) >= 0.9 * len(want)
+
+
+def test_histories_are_distinct_and_whole():
+    names = T.offset_histories(2015, 2024)
+    assert 60 < len(names) < 300
+    offsets = {dt.datetime(2024, 1, 9, 12, tzinfo=UTC).astimezone(__import__("zoneinfo").ZoneInfo(n)).utcoffset() for n in names}
+    assert {dt.timedelta(hours=h) for h in (3.5, 4.5, 5, 6, 6.5)} <= offsets
+
+
+def test_abbreviation_with_two_offsets(spark):
+    df = spark.createDataFrame([(1, 1, "2010-07-01 12:00 MSK", None, "Europe/Moscow", None, ""), (2, 1, "2012-01-01 12:00 MSK", None, "Europe/Moscow", None, "")], SCHEMA)
+    read = T.read_times(df, "published_at", "feed_timezone").select("parse_id", T.instant_ms().alias("ms"))
+    assert {r.parse_id: r.ms for r in read.collect()}[2] == ms(2012, 1, 1, 8)
