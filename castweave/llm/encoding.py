@@ -32,6 +32,8 @@ PASSES = 3
 # Stretches with foreign characters, at most that many ASCII ones apart, are decoded together.
 _STRETCH = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]{0,8}[^\x00-\x7f])*")
 STRETCH_MAX = 4_000
+#: Characters that one character can have turned into: four bytes, each of them up to three more.
+LONGEST_ARC = 12
 
 
 def _byte_map(wrong: str) -> dict[str, int]:
@@ -164,21 +166,39 @@ def label_once(text: str) -> tuple[str, list[str]]:
     """One Viterbi pass: the text with every damaged span inverted, and the labels of the spans.
 
     Only stretches around foreign characters are decoded; ASCII in between is clean by itself. A
-    stretch longer than ``STRETCH_MAX`` is decoded in parts, so memory stays bounded on any text.
+    stretch longer than ``STRETCH_MAX`` is decoded in parts that meet where no damaged character lies
+    across, so memory stays bounded on any text and nothing is torn.
     """
     if text.isascii():
         return text, []
     out, at, labels = [], 0, set()
     for m in _STRETCH.finditer(text):
         out.append(text[at : m.start()])
-        for a in range(m.start(), m.end(), STRETCH_MAX):
-            part, met = _label_stretch(text[a : min(m.end(), a + STRETCH_MAX)], text[a - 1] if a else " ")
+        a = m.start()
+        while a < m.end():
+            # The last part takes what is left, so that none is too short to tell.
+            b = _border(text, a + STRETCH_MAX, m.end()) if m.end() - a >= 2 * STRETCH_MAX else m.end()
+            part, met = _label_stretch(text[a:b], text[a - 1] if a else " ")
             out.append(part)
             labels.update(met)
+            a = b
         at = m.end()
     return "".join(out) + text[at:], sorted(labels)
 
 
+def _border(text: str, at: int, end: int) -> int:
+    """The first place from ``at`` on where a stretch can be parted: after an ASCII character that is no letter, else
+    (none within ``STRETCH_MAX``) where no run of bytes of one character lies across."""
+    for i in range(at, min(end, at + STRETCH_MAX)):
+        if text[i - 1] < "\x80" and not text[i - 1].isalpha():
+            return i
+    for i in range(at, end):
+        arcs = (arc for k in range(max(0, i - LONGEST_ARC), i) for _, t in UTF8_MAPS for f in (_utf8_arc, _double_arc) if (arc := f(text, k, t)) and k + arc[0] > i)
+        if next(arcs, None) is None:
+            return i
+    return end
+
+
 def _label_stretch(text: str, first_before: str) -> tuple[str, list[str]]:
     """Viterbi decoding of one stretch after the character ``first_before``."""
     arcs: dict[int, list] = {}

@@ -66,3 +66,13 @@ def test_tables(spark):
     }
     empty = encoding.damaged_tables(spark.createDataFrame([], schema), podcast.limit(0))
     assert empty.count() == 0
+
+
+def test_long_stretches_are_not_torn(monkeypatch):
+    """Damage throughout, without a space and over many parts, comes back exactly wherever the parts meet."""
+    text = "山の救助について話しました次回もお楽しみに" * 60
+    russian = "Сегодня мы говорим о ночных поездах и старых мостах " * 40
+    for limit in (50, 51, 52, 97):
+        monkeypatch.setattr(encoding, "STRETCH_MAX", limit)
+        assert encoding.restore(text.encode().decode("cp437"))[0] == text
+        assert encoding.restore(russian.encode("cp1251").decode("cp1252"))[0] == russian
