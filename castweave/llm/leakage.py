@@ -40,6 +40,9 @@ OWN_ITEMS, OWN_TERMS, EDIT_GAP, ITEM_GAP_MAX = 2, 4, 2, 8
 SPREAD = 8
 #: The bit map has at most 2 ** MAP_BITS bits (8 MB), and at least 2 ** 16.
 MAP_BITS = 26
+#: Tables with a row per item term are sent to all tasks up to so many rows (about 32 MB); beyond, the postings are
+#: exchanged by term instead.
+SEND_ROWS = 1_000_000
 # Characters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
     "абвгеикмнорстухѕіјԁɡһӏοαεικνρτυχ",
@@ -296,20 +299,22 @@ def find_leaks(
     items = cut(items.join(known, "iid").select("item_id", "iid", "terms", "x.df", "x.own"))
     # Offset-adjusted lists of the rarest terms: at least three must meet in a document, spread over the item.
     seeds = items.mapInPandas(_pick_seeds, "iid long, seed int, term long")
+    small = item_terms.count() <= SEND_ROWS
+    send = F.broadcast if small else lambda df: df
     # Partitioned by document once: hits are joined with the seeds and counted where their document lies.
     placed = postings.repartition("doc_id", "uid")
     hit = placed.select("doc_id", "uid", F.explode(F.arrays_zip("terms", "places")).alias("p"))
     hit = hit.select("doc_id", "uid", F.col("p.terms").alias("term"), F.col("p.places").alias("place"))
     # Zones overlap with the next, so that what is near always shares one.
     zone = F.floor((F.col("place") - F.col("seed")) / DOC_GAP_MAX).cast("int")
-    zones = hit.join(seeds, "term").select("doc_id", "uid", "iid", "seed", F.explode(F.array(zone, zone + 1)).alias("zone"))
+    zones = hit.join(send(seeds), "term").select("doc_id", "uid", "iid", "seed", F.explode(F.array(zone, zone + 1)).alias("zone"))
     met = zones.groupBy("doc_id", "uid", "iid", "zone").agg(
         F.count(F.lit(1)).alias("n"), F.min("seed").alias("lo"), F.max("seed").alias("hi")
     )
     met = met.where((F.col("n") > 2) & (F.col("hi") - F.col("lo") >= SPREAD)).select("doc_id", "uid", "iid")
     # Terms few items have, however far apart.
     own = items.select("iid", F.explode(F.arrays_zip("terms", "own")).alias("t")).where("t.own").select("iid", "t.terms").distinct()
-    owned = placed.select("doc_id", "uid", F.explode(F.array_distinct("terms")).alias("terms")).join(own, "terms")
+    owned = placed.select("doc_id", "uid", F.explode(F.array_distinct("terms")).alias("terms")).join(send(own), "terms")
     owned = owned.groupBy("doc_id", "uid", "iid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OWN_TERMS)
     candidates = met.unionByName(owned.select("doc_id", "uid", "iid")).distinct()
     full = candidates.join(postings, ["doc_id", "uid"]).join(

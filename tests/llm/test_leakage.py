@@ -74,6 +74,8 @@ def test_empty_tables_and_a_small_map(spark, monkeypatch):
     assert leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").count() == 0
     monkeypatch.setattr(leakage, "MAP_BITS", 6)  # foreign terms pass and are left out by the joins
     assert leaks(spark, [" ".join(ITEM), " ".join(OTHER)]) == {(0, 1), (1, 2)}
+    monkeypatch.setattr(leakage, "SEND_ROWS", 1)  # more items than are sent: the postings are exchanged by term
+    assert leaks(spark, [" ".join(ITEM), noise(), " ".join(OTHER)]) == {(0, 1), (2, 2)}
 
 
 def test_short_edited_and_parted_passages(spark):
