@@ -54,9 +54,10 @@ def test_rounds(spark):
             break
     assert rounds > graphs.ROUNDS
     assert {r.id: r.rank for r in graphs.pagerank(c).collect()} == pytest.approx(dict(enumerate(rank)), abs=1e-12)
-    hub = [1.0] * n
-    for _ in range(50):
+    hub, change = [1.0] * n, 1.0
+    while change >= 1e-8:
         auth = [sum(hub[a] for a, b in edges if b == v) for v in range(n)]
-        hub = [sum(auth[b] for a, b in edges if a == v) for v in range(n)]
-        hub = [h / sum(hub) for h in hub]
+        new = [sum(auth[b] for a, b in edges if a == v) for v in range(n)]
+        new = [h / sum(new) for h in new]
+        change, hub = sum(abs(x - y) for x, y in zip(new, hub, strict=True)), new
     assert {r.id: r.hub for r in graphs.hits(c).collect()} == pytest.approx(dict(enumerate(hub)), abs=1e-12)
