@@ -1,7 +1,7 @@
 """Where personal names stand in a corpus, learned from the names that are sure.
 
-Runs of capitalised words are told apart by what stands before and after them: on a bounded sample
-of documents, runs that hold a sure name (title, initial, known given name) count for their
+Runs of capitalised words are told apart by what stands before and after them: over all
+documents, runs that hold a sure name (title, initial, known given name) count for their
 surroundings, all other runs against them. A run of two or three words in surroundings that
 belong to names is then taken for a name whatever its words are, unless one of them is an
 ordinary word of the corpus or the run has an article, as titles of shows have.
@@ -12,21 +12,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castweave.runtime import ship
+from castweave.runtime import cut, ship
 
-#: Documents the model is fitted on, about; the sample is drawn by a hash of the id.
-FIT_DOCS = 2_000
 #: Least probability of a name, and how often surroundings must have been seen.
 LEAST, SEEN = 0.5, 5
-#: How often a word must stand in lower case in the sample to be an ordinary one.
-ORDINARY = 3
+#: In how many documents, and in which share of them, a word must stand in lower case to be an ordinary one.
+ORDINARY, ORDINARY_SHARE = 3, 0.0015
 
 _UP, _LO = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪİĶĹĽŁŃŇŌŐŒŘŚŞŠŢŤŪŮŰŹŻŽ", "a-zß-öø-ÿāăąćčďđēęěğģīıķĺľłńňōőœřśşšţťūůűźżž"
 _CAP = rf"(?:[OD]['’]|Mc|Mac)?[{_UP}][{_LO}]+(?:-[{_UP}][{_LO}]+)*"
@@ -36,7 +34,8 @@ _PART = r"(?:von der|van der|van den|de la|von|van|del|della|de|da|di|du|dos|al|
 RUN = re.compile(rf"(?<![\w@.+'’-]){_CAP}(?:{_GAP}(?:[{_UP}]\.{_GAP})?(?:{_PART}{_GAP})?{_CAP})+(?![\w@'’])")
 _LAST_WORD = re.compile(r"(\w+['’]?|[^\w\s])\s*$")
 _NEXT_WORD = re.compile(r"[  \n]*(\w+|[^\w\s])")
-_LOWER = re.compile(rf"(?<![\w@.])[{_LO}]{{2,}}(?!\w)")
+_TOKEN = re.compile(r"[\w@.]+")
+_LOWER = re.compile(rf"[{_LO}]{{2,}}(?!\w)")
 # Articles that make a run of capitalised words a title.
 ARTICLES = frozenset("the a an die der das ein eine el la los las le les un une".split())
 # Pronouns and forms of address that are written with a capital.
@@ -80,55 +79,79 @@ def runs(text: str, stop: frozenset[str]) -> Iterator[tuple[int, int]]:
             yield m.start() + kept[0].start(), m.start() + kept[-1].end()
 
 
-def fit(
-    documents: DataFrame, doc_id: str, text: str, sure: Callable[[str], list[tuple[int, int]]], stop: frozenset[str], docs: int = FIT_DOCS
-) -> Contexts:
-    """A model from about ``docs`` documents (never more than twice as many), whose sure names ``sure`` tells."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for value in batch["text"]:
-                used = bytearray(len(value))
-                for a, b in sure(value):
-                    used[a:b] = b"\x01" * (b - a)
-                for a, b in runs(value, stop):
-                    kind = "name" if used.find(1, a, b) >= 0 else "other"
-                    before, after = surroundings(value, a, b)
-                    seen.update(((kind, "all", ""), (kind, "before", before), (kind, "after", after), (kind, "both", f"{before} {after}")))
-                seen.update(("word", "", w) for w in set(_LOWER.findall(value)))
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "part", "value", "n"])
-
-    rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    parts = max(1, rows.select("id").count() // docs)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).limit(2 * docs).select("text").repartition(16)
-    counts = sample.mapInPandas(count, "kind string, part string, value string, n long").groupBy("kind", "part", "value")
-    table: dict[str, dict[str, list[int]]] = {"all": {}, "before": {}, "after": {}, "both": {}}
-    ordinary = set()
-    for r in counts.agg(F.sum("n").alias("n")).collect():  # what a bounded sample holds
-        if r["kind"] == "word":
-            if r["n"] >= ORDINARY:
-                ordinary.add(r["value"])
-        else:
-            table[r["part"]].setdefault(r["value"], [0, 0])[r["kind"] == "other"] = r["n"]
-    names, others = table["all"].get("", [0, 0])
-    prior = math.log((names + 1) / (others + 1))
-    odds = lambda part: {
-        k: math.log((n + 0.5) / (o + 0.5)) - (0 if part == "both" else prior) for k, (n, o) in table[part].items() if n + o >= SEEN
-    }
-    return Contexts(prior, odds("before"), odds("after"), odds("both"), frozenset(ordinary))
+def placed(text: str, spans: list[tuple[int, int, str]], stop: frozenset[str]) -> Iterator[tuple[int, int, str, str, bool, bool]]:
+    """``start, end, before, after, sure, free`` of every run: whether it holds a sure name, and whether it touches no span."""
+    used, sure = bytearray(len(text)), bytearray(len(text))
+    for a, b, kind in spans:
+        used[a:b] = b"\x01" * (b - a)
+        if kind == "name":
+            sure[a:b] = used[a:b]
+    for a, b in runs(text, stop):
+        yield a, b, *surroundings(text, a, b), sure.find(1, a, b) >= 0, used.find(1, a, b) < 0
+
+
+@lru_cache(65536)
+def _lower_head(token: str) -> str | None:
+    """The lower-case word that a token begins with, unless it goes on as part of another."""
+    head = _LOWER.match(token)
+    return head and head[0]
+
+
+class Tally:
+    """Counts of one task, handed out whenever there are many, so that they stay bounded whatever the task reads."""
+
+    def __init__(self) -> None:
+        self.seen: Counter = Counter()
+
+    def add(self, text: str, found: list[tuple[int, int, str, str, bool, bool]]) -> None:
+        for a, b, before, after, sure, free in found:
+            kind = "name" if sure else "other"
+            self.seen.update(((kind, "all", ""), (kind, "before", before), (kind, "after", after), (kind, "both", f"{before} {after}")))
+            if free:
+                self.seen.update(("run", "", w.lower()) for w in text[a:b].split())
+        self.seen.update(("word", "", w) for w in {_lower_head(t) for t in set(_TOKEN.findall(text))} if w)
+        self.seen["docs", "", ""] += 1
+
+    def rows(self) -> list[tuple[str, str, str, int]]:
+        out = [(*k, n) for k, n in self.seen.items()]
+        self.seen.clear()
+        return out
+
+
+def fit(counts: DataFrame) -> Contexts:
+    """A model from ``kind, part, value, n`` of all documents, as :class:`Tally` gives them.
+
+    What the driver gets are surroundings seen often enough to count, and the ordinary words that some run holds.
+    """
+    sums = cut(counts.groupBy("kind", "part", "value").agg(F.sum("n").alias("n")))
+    docs = sums.where("kind = 'docs'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asked = sums.where("kind = 'run'").select("value")
+    often = sums.where((F.col("kind") == "word") & (F.col("n") >= max(ORDINARY, docs * ORDINARY_SHARE)))
+    ordinary = frozenset(r["value"] for r in often.join(asked, "value", "left_semi").select("value").collect())
+    names_, others = (F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)) for kind in ("name", "other"))
+    known = sums.where(F.col("kind").isin("name", "other")).groupBy("part", "value").agg(names_.alias("names"), others.alias("others"))
+    table: dict[str, dict[str, tuple[int, int]]] = {"all": {}, "before": {}, "after": {}, "both": {}}
+    for part, value, n, o in known.where((F.col("part") == "all") | (F.col("names") + F.col("others") >= SEEN)).collect():
+        table[part][value] = n, o
+    n, o = table["all"].get("", (0, 0))
+    prior = math.log((n + 1) / (o + 1))
+    odds = lambda part: {k: math.log((n + 0.5) / (o + 0.5)) - (0 if part == "both" else prior) for k, (n, o) in table[part].items()}
+    return Contexts(prior, odds("before"), odds("after"), odds("both"), ordinary)
+
+
+def accepts(model: Contexts, run: str, before: str, after: str) -> bool:
+    """Whether a run in these surroundings is a name."""
+    if any(w.lower() in model.ordinary for w in run.split()):
+        return False
+    # Surroundings never seen together count only where each side is known.
+    known = f"{before} {after}" in model.both or before in model.before and after in model.after
+    return known and model.odds(before, after) > math.log(LEAST / (1 - LEAST))
 
 
 def names_in(text: str, model: Contexts, stop: frozenset[str]) -> Iterator[tuple[int, int]]:
     """Spans of ``text`` that stand where names stand."""
-    bar = math.log(LEAST / (1 - LEAST))
     for a, b in runs(text, stop):
-        if any(w.lower() in model.ordinary for w in text[a:b].split()):
-            continue
-        before, after = surroundings(text, a, b)
-        # Surroundings never seen together count only where each side is known.
-        known = f"{before} {after}" in model.both or before in model.before and after in model.after
-        if known and model.odds(before, after) > bar:
+        if accepts(model, text[a:b], *surroundings(text, a, b)):
             yield a, b
 
 

@@ -3,7 +3,7 @@
 Detection is by format and lead-in for e-mail addresses, phone numbers, identity numbers, street
 addresses and birth dates, and by given names, initials and titles for personal names, in mixed,
 all-capital and all-lower text. Names with none of these are found by what stands around them,
-learned from the corpus (``contexts.py``). Whole texts are scanned, in Arrow batches, without a shuffle.
+learned from the whole corpus (``contexts.py``). Each text is scanned once, in Arrow batches, without a shuffle.
 
 Replacement keeps values linked across documents without revealing them: digits and letters of
 numbers are permuted by a keyed Feistel network within their own format (same length, same
@@ -20,13 +20,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castweave.llm import contexts
 from castweave.llm.names import NICKNAMES
-from castweave.runtime import ship
+from castweave.runtime import cut, ship
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 ROUNDS = 10
@@ -456,9 +456,8 @@ def placeholder(kind: str, text: str, key: str) -> str:
     return f"[{kind.upper()}:{tag}]"
 
 
-def redact(text: str | None, key: str, model: contexts.Contexts | None = None) -> tuple[str | None, int]:
-    """Text with every span replaced by its placeholder, and how many were; null stays null."""
-    spans = find_pii(text, model)
+def replaced(text: str | None, spans: list[tuple[int, int, str]], key: str) -> tuple[str | None, int]:
+    """Text with every span replaced by its placeholder, and how many were."""
     if not spans:
         return text, 0
     out, at = [], 0
@@ -468,14 +467,71 @@ def redact(text: str | None, key: str, model: contexts.Contexts | None = None) -
     return "".join(out) + text[at:], len(spans)
 
 
-def sure_names(text: str) -> list[tuple[int, int]]:
-    """Spans of the names that title, initial or given name tell."""
-    return [(a, b) for a, b, kind in find_pii(text) if kind == "name"]
+def redact(text: str | None, key: str, model: contexts.Contexts | None = None) -> tuple[str | None, int]:
+    """Text with every span replaced by its placeholder, and how many were; null stays null."""
+    return replaced(text, find_pii(text, model), key)
+
+
+#: Counts that a task holds before it hands them out.
+TALLIED = 200_000
+_SCANNED = (
+    "id long, text string, starts array<int>, ends array<int>, kinds array<string>, found array<string>, run_starts array<int>, "
+    "run_ends array<int>, runs array<string>, befores array<string>, afters array<string>, "
+    "counts array<struct<kind: string, part: string, value: string, n: long>>"
+)
+_INTS, _TEXTS = pa.list_(pa.int32()), pa.list_(pa.string())
+_COUNTS = pa.list_(pa.struct([("kind", pa.string()), ("part", pa.string()), ("value", pa.string()), ("n", pa.int64())]))
+_TYPES = (pa.int64(), pa.string(), _INTS, _INTS, _TEXTS, _TEXTS, _INTS, _INTS, _TEXTS, _TEXTS, _TEXTS, _COUNTS)
+_COLUMNS = [c.split()[0] for c in re.sub(r"<.*?>+", "", _SCANNED).split(", ")]
+
+
+def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def scan(documents: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
+    """Everything that all documents tell without a model, each read once; kept in the shared folder.
+
+    A row for each document: ``id``, its spans (``starts, ends, kinds, found``) and the runs of capitalised words outside
+    of them (``run_starts, run_ends, runs, befores, afters``), with its ``text`` if ``whole``. Rows with ``counts``
+    instead are what the model is fitted on; documents without id or text are not counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = contexts.Tally()
+        for batch in batches:
+            rows = []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spans = find_pii(value)
+                placed = list(contexts.placed(value, spans, STOP)) if value else []
+                if key is not None and value is not None:
+                    tally.add(value, placed)
+                free = [r[:4] for r in placed if r[5]]
+                rows.append((
+                    key, value if whole else None, *([s[i] for s in spans] for i in range(3)), [value[a:b] for a, b, _ in spans],
+                    [r[0] for r in free], [r[1] for r in free], [value[r[0] : r[1]] for r in free], [r[2] for r in free], [r[3] for r in free], None,
+                ))
+            yield _batch(rows, _COLUMNS, _TYPES)
+            if len(tally.seen) > TALLIED:
+                yield _batch([(*[None] * 11, tally.rows())], _COLUMNS, _TYPES)
+        yield _batch([(*[None] * 11, tally.rows())], _COLUMNS, _TYPES)
+
+    return cut(documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, _SCANNED))
+
+
+def _model(scanned: DataFrame) -> contexts.Contexts:
+    return contexts.fit(scanned.select(F.explode("counts").alias("c")).select("c.*"))
 
 
 def fit_names(documents: DataFrame, doc_id: str, text: str) -> contexts.Contexts:
-    """What stands around names in ``documents``, from a bounded sample (``contexts.FIT_DOCS``)."""
-    return contexts.fit(documents, doc_id, text, sure_names, STOP)
+    """What stands around names in ``documents``, all of them."""
+    return _model(scan(documents, doc_id, text, False))
+
+
+def _by_place(model: contexts.Contexts, row: dict) -> list[int]:
+    """Which runs of a scanned document are names."""
+    return [i for i, r in enumerate(zip(row["runs"], row["befores"], row["afters"], strict=True)) if contexts.accepts(model, *r)]
 
 
 def find_in(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -484,17 +540,20 @@ def find_in(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     Null and empty texts have none; repeated texts are reported under each of their ids; rows
     without id are left out; an empty table gives no rows.
     """
-    model = fit_names(documents, doc_id, text)
+    scanned = scan(documents.where(F.col(doc_id).isNotNull()), doc_id, text, False)
+    model = _model(scanned)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, value in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                rows += sorted({(key, kind, value[a:b]) for a, b, kind in find_pii(value, model) if kind in KINDS})
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "pii_text"])
+            for row in batch.to_pylist():
+                found = {(k, t) for k, t in zip(row["kinds"], row["found"], strict=True) if k in KINDS}
+                found.update(("name", row["runs"][i]) for i in _by_place(model, row))
+                rows += [(row["id"], *f) for f in sorted(found)]
+            yield _batch(rows, ["doc_id", "kind", "pii_text"], (pa.int64(), pa.string(), pa.string()))
 
-    kept = documents.where(F.col(doc_id).isNotNull()).select(doc_id, text)
-    return kept.mapInPandas(run, "doc_id long, kind string, pii_text string")
+    kept = scanned.where("counts IS NULL").select("id", "kinds", "found", "runs", "befores", "afters")
+    return kept.mapInArrow(run, "doc_id long, kind string, pii_text string")
 
 
 def redact_in(documents: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
@@ -504,16 +563,19 @@ def redact_in(documents: DataFrame, doc_id: str, text: str, key: str) -> DataFra
     """
     if not key:
         raise ValueError("a secret key is needed")
-    model = fit_names(documents, doc_id, text)
+    scanned = scan(documents, doc_id, text, True)
+    model = _model(scanned)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [redact(t, key, model) for t in batch[text]]
-            yield pd.DataFrame({"doc_id": batch[doc_id], "redacted_text": [d[0] for d in done], "replaced": [d[1] for d in done]})
+            rows = []
+            for row in batch.to_pylist():
+                spans = [*zip(row["starts"], row["ends"], row["kinds"], strict=True)]
+                spans += [(row["run_starts"][i], row["run_ends"][i], "name") for i in _by_place(model, row)]
+                rows.append((row["id"], *replaced(row["text"], sorted(spans), key)))
+            yield _batch(rows, ["doc_id", "redacted_text", "replaced"], (pa.int64(), pa.string(), pa.int32()))
 
-    slim = documents.select(F.col(doc_id).cast("string").alias(doc_id), text)
-    done = slim.mapInPandas(run, "doc_id string, redacted_text string, replaced int")
-    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return scanned.where("counts IS NULL").drop("counts", "found").mapInArrow(run, "doc_id long, redacted_text string, replaced int")
 
 
 ship(__name__)
