@@ -68,8 +68,6 @@ FOLD = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "đ": "d", "ð": "d", "
 MIN_EDIT, MIN_TWO = 5, 12
 #: Tokens of more letters (no words, but typed all the same) are indexed by their halves and may differ by one edit.
 LONG = 64
-#: A nickname known by its shape alone is believed where at most so many cores share the rest of the name.
-RARE_REST = 8
 _QUOTED = re.compile(r"[\"“”„«»]([^\"“”„«»]*)[\"“”„«»]|\([^)]*\)|\[[^\]]*\]")
 _WORD = re.compile(r"([^\W\d_]+(?:['’][^\W\d_]+)*)(\.?)")
 
@@ -351,6 +349,42 @@ def _shape_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[keep][["kind", "a", "b"]]
 
 
+def shape_links(parts: DataFrame) -> DataFrame:
+    """``kind, a, b``: cores equal but for a token that is shaped as a nickname of the other's, see :func:`nickname_shaped`.
+
+    ``parts(kind, core, token, rest)``. Names of one rest meet under the token or stem that a nickname is and the ends and
+    beginnings of the longer token, so a rest that many names share gives a row for each of those and not for each pair.
+    """
+    tokens = parts.select("token").distinct()
+    length = F.length("token")
+    stem = F.regexp_replace("token", "(ie|ey|y|i|o)$", "")
+    root = F.when(F.length(stem) > 3, F.regexp_replace(stem, r"(.)\1$", "$1")).otherwise(stem)
+    nick = F.array(
+        F.when(length >= 4, F.xxhash64(F.lit(">"), "token")),
+        F.when((root != F.col("token")) & (F.length(root) >= 3), F.xxhash64(F.lit("<"), root)),
+    )
+    short = tokens.where(length >= 3).select("token", F.explode(F.array_compact(nick)).alias("form"))
+    sizes = F.sequence(F.lit(3), length - 2)
+    ends = F.transform(sizes, lambda n: F.xxhash64(F.lit(">"), F.col("token").substr(length - n + 1, n)))
+    heads = F.transform(sizes, lambda n: F.xxhash64(F.lit("<"), F.col("token").substr(F.lit(1), n)))
+    long = tokens.where(length >= 5).select("token", F.explode(F.concat(ends, heads)).alias("form"))
+    # Few forms are those of a nickname and of a longer token as well; only they are written out for the names.
+    met = cut(
+        short.select("form", F.lit(True).alias("is_short"), "token").unionByName(
+            long.join(short.select("form").distinct(), "form", "left_semi").select("form", F.lit(False).alias("is_short"), "token")
+        )
+    )
+    met = met.join(met.where("NOT is_short").select("form").distinct(), "form", "left_semi")
+    forms = cut(met.groupBy("token", "is_short").agg(F.collect_list("form").alias("forms")))
+    side = lambda is_short: join_hot(
+        parts, forms.where(F.col("is_short") == is_short).select("token", "forms"), "token", "left"
+    ).where("forms IS NOT NULL").withColumn("form", F.explode("forms"))
+    left = side(True).select("kind", "rest", "form", F.col("core").alias("a"), "token")
+    right = side(False).select("rest", "form", F.col("core").alias("b"), F.col("token").alias("other"))
+    found = left.join(right, ["rest", "form"]).where(F.length("other") > F.length("token"))
+    return found.mapInPandas(_shape_batches, "kind string, a string, b string")
+
+
 def handle_splits(cores: DataFrame, tokens: DataFrame) -> DataFrame:
     """``kind, handle, core``: names of two words that a core of one token may write together.
 
@@ -401,15 +435,8 @@ def unsure_links(spelled: DataFrame, cores: DataFrame) -> DataFrame:
     known = quoted.where(F.col("token") != F.col("long")).groupBy("token", "long").agg(F.countDistinct("core").alias("n"))
     called = parts.join(known.where("n > 1"), "token").select("kind", "rest", F.col("core").alias("a"), F.col("long").alias("other"))
     nick = called.join(other, ["rest", "other"]).where("a <> b").select("kind", "a", "b")
-    # Nicknames by shape, where few names share the rest.
-    few = parts.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, RARE_REST))
-    rare = parts.join(few.select("rest"), "rest", "left_semi")
-    shaped = (
-        rare.withColumnRenamed("core", "a")
-        .join(other, "rest")
-        .where((F.length("token") >= 3) & (F.length("other") > F.length("token")))
-        .mapInPandas(_shape_batches, schema)
-    )
+    # Nicknames by shape: met through the beginnings and ends of the longer token, however many names share the rest.
+    shaped = shape_links(parts)
     # A missing middle name: both ends equal, one or more words between them.
     ends = F.array_join(F.array_sort(F.array(F.col("long")[0], F.element_at("long", -1))), " ")
     between = spelled.where(F.size("long") > 2).select("kind", ends.alias("a"), F.col("core").alias("b")).distinct()
