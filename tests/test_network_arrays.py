@@ -6,7 +6,7 @@ from castweave.operators import network as N
 from test_network import APP, rows
 
 
-@pytest.mark.parametrize("query", ["person_metrics"])
+@pytest.mark.parametrize("query", ["person_metrics", "week_people"])
 def test_scores_without_a_row_for_every_source_and_node(spark, monkeypatch, query):
     def refuse(*_):
         raise AssertionError("a row per source and node")
