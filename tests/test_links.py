@@ -63,3 +63,17 @@ def test_person_metrics_without_jobs_for_rounds(spark, monkeypatch):
     assert {k: r.betweenness for k, r in got.items()} == pytest.approx({1: 0, 2: 5 / 6, 3: 3 / 6, 4: 0, 5: 0})
     assert sum(r.pagerank for r in got.values()) == pytest.approx(1) and sum(r.hub for r in got.values()) == pytest.approx(1)
     assert N.person_metrics(app.where(F.lit(False))).count() == 0
+
+
+def test_week_people_without_jobs_for_rounds(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("jobs for every round")
+
+    app = spark.createDataFrame(rows(), APP)
+    for name in ("pagerank", "hits", "source_sums", "distances"):
+        monkeypatch.setattr(G, name, refuse)
+    # 1 - 3 - 2 - 4 until the end of that week; 5 has no date.
+    got = {r.id: r for r in N.week_people(app, "2024-01-08", None, 10).collect()}
+    assert {k: r.closeness for k, r in got.items()} == pytest.approx({1: 3 / 6, 2: 3 / 4, 3: 3 / 4, 4: 3 / 6})
+    assert {k: r.betweenness for k, r in got.items()} == pytest.approx({1: 0, 2: 4 / 6, 3: 4 / 6, 4: 0})
+    assert sum(r.pagerank for r in got.values()) == pytest.approx(1) and sum(r.authority for r in got.values()) == pytest.approx(1)
