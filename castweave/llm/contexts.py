@@ -28,13 +28,17 @@ ORDINARY, ORDINARY_SHARE = 3, 0.0015
 
 _UP, _LO = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪİĶĹĽŁŃŇŌŐŒŘŚŞŠŢŤŪŮŰŹŻŽ", "a-zß-öø-ÿāăąćčďđēęěğģīıķĺľłńňōőœřśşšţťūůűźżž"
 _CAP = rf"(?:[OD]['’]|Mc|Mac)?[{_UP}][{_LO}]+(?:-[{_UP}][{_LO}]+)*"
+# The same where its first letter has been read: a pattern is searched faster if it begins with a set of characters.
+_CAP_REST = rf"(?:(?:(?<=[OD])['’]|(?<=M)a?c)[{_UP}])?[{_LO}]+(?:-[{_UP}][{_LO}]+)*"
 _GAP = r"(?:[  ]{1,2}|\n(?!\n))"
 _PART = r"(?:von der|van der|van den|de la|von|van|del|della|de|da|di|du|dos|al|el|bin|ibn|ter|den)"
 #: A run of capitalised words, with initials and particles inside.
-RUN = re.compile(rf"(?<![\w@.+'’-]){_CAP}(?:{_GAP}(?:[{_UP}]\.{_GAP})?(?:{_PART}{_GAP})?{_CAP})+(?![\w@'’])")
+RUN = re.compile(rf"[{_UP}](?<![\w@.+'’-].){_CAP_REST}(?:{_GAP}(?:[{_UP}]\.{_GAP})?(?:{_PART}{_GAP})?{_CAP})+(?![\w@'’])")
 _LAST_WORD = re.compile(r"(\w+['’]?|[^\w\s])\s*$")
 _NEXT_WORD = re.compile(r"[  \n]*(\w+|[^\w\s])")
 _TOKEN = re.compile(r"[\w@.]+")
+#: For bytes of UTF-8: ASCII that no token holds to blanks; other characters are told apart by ``_TOKEN``.
+_BLANKS = bytes(b if b > 127 or _TOKEN.match(chr(b)) else 32 for b in range(256))
 _LOWER = re.compile(rf"[{_LO}]{{2,}}(?!\w)")
 # Articles that make a run of capitalised words a title.
 ARTICLES = frozenset("the a an die der das ein eine el la los las le les un une".split())
@@ -91,30 +95,40 @@ def placed(text: str, spans: list[tuple[int, int, str]], stop: frozenset[str]) -
 
 
 @lru_cache(65536)
-def _lower_head(token: str) -> str | None:
-    """The lower-case word that a token begins with, unless it goes on as part of another."""
-    head = _LOWER.match(token)
-    return head and head[0]
+def _lower_heads(part: bytes) -> tuple[str, ...]:
+    """The lower-case words that tokens begin with, unless they go on as part of another; a part is a token but for signs beyond ASCII."""
+    heads = map(_LOWER.match, _TOKEN.findall(part.decode("utf-8", "surrogatepass")))
+    return tuple(h[0] for h in heads if h)
 
 
 class Tally:
     """Counts of one task, handed out whenever there are many, so that they stay bounded whatever the task reads."""
 
     def __init__(self) -> None:
-        self.seen: Counter = Counter()
+        self.spans: Counter = Counter()
+        self.words: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.spans) + len(self.words)
 
     def add(self, text: str, found: list[tuple[int, int, str, str, bool, bool]]) -> None:
         for a, b, before, after, sure, free in found:
             kind = "name" if sure else "other"
-            self.seen.update(((kind, "all", ""), (kind, "before", before), (kind, "after", after), (kind, "both", f"{before} {after}")))
+            self.spans.update(((kind, "all", ""), (kind, "before", before), (kind, "after", after), (kind, "both", f"{before} {after}")))
             if free:
-                self.seen.update(("run", "", w.lower()) for w in text[a:b].split())
-        self.seen.update(("word", "", w) for w in {_lower_head(t) for t in set(_TOKEN.findall(text))} if w)
-        self.seen["docs", "", ""] += 1
+                self.spans.update(("run", "", w.lower()) for w in text[a:b].split())
+        parts = set(text.encode("utf-8", "surrogatepass").translate(_BLANKS).split())
+        self.words.update(set().union(*map(_lower_heads, parts)))
+        self.spans["docs", "", ""] += 1
+
+    @property
+    def seen(self) -> dict[tuple[str, str, str], int]:
+        return {**self.spans, **{("word", "", w): n for w, n in self.words.items()}}
 
     def rows(self) -> list[tuple[str, str, str, int]]:
         out = [(*k, n) for k, n in self.seen.items()]
-        self.seen.clear()
+        self.spans.clear()
+        self.words.clear()
         return out
 
 

@@ -82,8 +82,15 @@ def _trie(words: list[str]) -> str:
 # Given names and short forms; ordinary words among them need title case or a cue before them, some never count.
 _ALL_GIVEN = {*GIVEN, *(short.title() for shorts in NICKNAMES.values() for short in shorts.split())} - _NEVER
 _FORMS = sorted({f for g in _ALL_GIVEN for f in (g, g.upper(), g.lower())})
-_GIVEN = re.compile(rf"(?<![\w@.+'’-])({_trie(_FORMS)})(?![\w@＠'’\u00ad])(?!\.[a-z])")
 _GIVEN_SET = frozenset(_FORMS)
+_REACH = max(map(len, _FORMS)) + 2  # characters that tell whether a given name begins at a place
+# Patterns that begin with the characters a match can begin with are searched many times faster than those that begin
+# with a look at what stands before; so what must not stand before comes second here and below.
+_HEADS = sorted({f[0] for f in _FORMS if not f.islower()})
+_GIVEN_TAILS = "|".join(f"(?<={h}){_trie([f[1:] for f in _FORMS if f[0] == h])}" for h in _HEADS)
+_NO_WORD_AFTER = r"(?![\w@＠'’\u00ad])(?!\.[a-z])"
+_GIVEN = re.compile(rf"[{''.join(_HEADS)}](?<![\w@.+'’-].)(?:{_GIVEN_TAILS}){_NO_WORD_AFTER}")
+_GIVEN_L = re.compile(rf"(?<![\w@.+'’-])(?:{_trie([f for f in _FORMS if f.islower()])}){_NO_WORD_AFTER}")
 _PART = r"(?:(?i:von der|van der|van den|de la|de los|von|van|del|della|de|da|di|du|dos|al|el|bin|ibn|ben|ter|den|st\.) )"
 _SUR_T = rf"(?:(?:[OD]['’]|Mc|Mac|al-)?[{UP}][{LO}]+(?:-(?:[OD]['’]|Mc)?[{UP}][{LO}]+)*)(?![{ANY}])"
 _SUR_U = rf"(?:(?:[OD]['’])?[{UP}]{{3,}}(?:-(?:[OD]['’])?[{UP}]{{2,}})*)(?![{ANY}])"
@@ -108,17 +115,19 @@ _BEFORE = {
     s: re.compile(rf"(?<![\w'’-])(?P<part>{_PART}?)(?P<sur>{p[2]}),{_GAP}$") for s, p in _STYLES.items()
 }
 _INITIAL = re.compile(
-    rf"(?<![\w.'’&])([{UP}])\.(?:[{UP}]\.)?{_GAP}?(?P<part>{_PART}?)(?P<sur>{_SUR_T}|{_SUR_U})"
+    rf"[{UP}](?<![\w.'’&].)\.(?:[{UP}]\.)?{_GAP}?(?P<part>{_PART}?)(?P<sur>{_SUR_T}|{_SUR_U})"
 )
 _INITIAL_L = re.compile(rf"(?<![\w.'’&])([{LO}])\.{_GAP}(?P<part>{_PART}?)(?P<sur>{_SUR_L})")
 _COMMA_INITIAL = re.compile(rf",{_GAP}[{UP}]\.(?![\w])")
 _REVERSED_INITIAL = re.compile(rf"(?<![\w'’-])(?P<sur>{_SUR_T}|{_SUR_U})$")
 _TITLED = re.compile(
-    rf"\b(?:D[rR]|P(?:rof(?:essor)?|ROF)|M(?:rs?|RS?|[sS])|R(?:ev|EV))\.?{_GAP}([{UP}][{LO}]+(?:{_GAP}[{UP}]\.)?{_GAP}{_PART}?{_SUR_T})"
+    rf"[DMPR](?<!\w.)(?:(?<=D)[rR]|(?<=P)(?:rof(?:essor)?|ROF)|(?<=M)(?:rs?|RS?|[sS])|(?<=R)(?:ev|EV))\.?{_GAP}([{UP}][{LO}]+(?:{_GAP}[{UP}]\.)?{_GAP}{_PART}?{_SUR_T})"
 )
 
 _DOT, _AT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?| dot )", r"(?:[@＠]|\s?[\[(]\s?at\s?[\])]\s?| at )"
 _EMAIL_AT = re.compile(r"[@＠]|[\[(]\s?at\s?[\])]| at (?=[\w-]+ dot )", re.I)
+_AT_BRACKET = re.compile(r"[\[(]\s?at\s?[\])]")
+_EMAIL_AT_L = re.compile(r"[@＠]|[\[(]\s?at\s?[\])]| at (?=[\w-]+ dot )")
 _LOCAL = re.compile(r"(?i)[a-z0-9][a-z0-9._%+-]*\Z")
 _EMAIL = re.compile(rf"(?i)[a-z0-9][a-z0-9._%+-]*{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}")
 
@@ -181,6 +190,17 @@ _ADDRESS_HINT = re.compile(
     r"crescent|house|mews|row|gardens|grove|hill|walk|circle|highway|hwy|parkway|pkwy|box|postfach|apartado|bp|postale|rue|"
     r"impasse|chemin|allée|quai|cours|calle|c/|avda|avenida|plaza|paseo)\b|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm) \d|〒"
 )
+# The same by whole words, and by what is no word of its own.
+_HINT_WORDS = frozenset(
+    "street st road rd avenue ave lane ln drive dr boulevard blvd court ct close terrace place pl square sq way crescent house mews "
+    "row gardens grove hill walk circle highway hwy parkway pkwy box postfach apartado bp postale rue impasse chemin allée quai cours "
+    "calle avda avenida plaza paseo".split()
+)
+_HINT_ENDS = ("straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "ufer ", "ring ", "damm ", "c/", "〒")
+_HINT_PART = re.compile(rf"(?:{'|'.join(map(re.escape, _HINT_ENDS[:-2]))})\d|c(?<!\w.)/\b|〒")
+_WHOLE = re.compile(r"\b\w+")
+#: Characters on each side of a given name in small letters that must be small too.
+NEAR = 120
 
 
 def _style(word: str) -> str:
@@ -188,10 +208,59 @@ def _style(word: str) -> str:
 
 
 def _all_lower(text: str, at: int) -> bool:
-    near = text[max(0, at - 120) : at + 120]
+    near = text[max(0, at - NEAR) : at + NEAR]
     return near == near.lower()
 
 
+def _given(text: str, lower: str) -> list[tuple[int, int, str]]:
+    """Given names with their places, in order; those in small letters only where no capital is near."""
+    found = [(*m.span(), m[0]) for m in _GIVEN.finditer(text)]
+    small: set[tuple[int, int, str]] = set()
+    if len(lower) != len(text) or len(text) <= NEAR:
+        small.update((*m.span(), m[0]) for m in _GIVEN_L.finditer(text))
+    else:
+        # What _all_lower looks at around a place holds one of these stretches, and the place is in it.
+        last = len(text) - NEAR
+        for low in (*range(0, last, NEAR), last):
+            if text[low : low + NEAR] == lower[low : low + NEAR]:
+                near = _GIVEN_L.finditer(text, low, low + NEAR + _REACH)
+                small.update((*m.span(), m[0]) for m in near if m.start() < low + NEAR)
+    return sorted([*found, *(s for s in small if _all_lower(text, s[0]))]) if small else found
+
+
+def _folded(text: str, lower: str) -> str | None:
+    """``text`` in small letters at the same places, where a pattern finds what it finds in ``text`` whatever the case."""
+    return lower.replace("ſ", "s").replace("ı", "i") if len(lower) == len(text) else None
+
+
+def _mail_hints(text: str, folded: str | None) -> Iterator[re.Match]:
+    """The matches of ``_EMAIL_AT``."""
+    if folded is None:
+        return _EMAIL_AT.finditer(text)
+    some = "@" in folded or "＠" in folded or " dot " in folded and " at " in folded
+    return _EMAIL_AT_L.finditer(folded) if some or _AT_BRACKET.search(folded) else iter(())
+
+
+def _long_numbers(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The matches of ``_LONG_NUMBER``: they begin with a run of 4 digits or more, or two letters before one of 2 or more."""
+    last = 0
+    for a, b in runs:
+        start = a - 2 if a > 1 and "A" <= text[a - 1] <= "Z" else a
+        if start >= last and b - a > (3 if start == a else 1) and (m := _LONG_NUMBER.match(text, start)):
+            yield m
+            last = m.end()
+
+
+def _hinted(text: str, folded: str | None, low: int, high: int) -> bool:
+    """Whether ``_ADDRESS_HINT`` is found between ``low`` and ``high``."""
+    if folded is None:
+        return _ADDRESS_HINT.search(text, low, high) is not None
+    if not _HINT_WORDS.isdisjoint(_WHOLE.findall(folded, low, high)):
+        return True
+    window = folded[low:high]
+    return any(part in window for part in _HINT_ENDS) and _HINT_PART.search(folded, low, high) is not None
+
+
 def _surname(word: str) -> bool:
     return word.lower() not in STOP and len(word) > 2
 
@@ -211,42 +280,39 @@ class _Marks:
         self.spans.append((start, end, kind))
 
 
-def _names(text: str, marks: _Marks) -> None:
+def _names(text: str, marks: _Marks, lower: str) -> None:
     taken = marks.taken
     end = 0
-    for m in _GIVEN.finditer(text):
-        if m.start() < end or taken(m.start(), m.end()):
+    for start, after, word in _given(text, lower):
+        if start < end or taken(start, after):
             continue
-        style = _style(m[1])
-        if style == "l" and not _all_lower(text, m.start()):
-            continue
-        if style != "t" and m[1].title() in _WORDS:
-            before = text[max(0, m.start() - 14) : m.start()].split()
+        style = _style(word)
+        if style != "t" and word.title() in _WORDS:
+            before = text[max(0, start - 14) : start].split()
             if not before or before[-1].strip(".,:").lower() not in _CUES:
                 continue
         full, plain, _ = _STYLES[style]
         stop = None
-        a = full.match(text, m.end())
+        a = full.match(text, after)
         if a and _surname(a["sur"]) and (not a["mid"] or a["mid"] in _GIVEN_SET):
             stop = a.end()
         else:
-            a = plain.match(text, m.end())
+            a = plain.match(text, after)
             if a and _surname(a["sur"]):
                 stop = a.end()
-        start = m.start()
         if stop is None:
             b = _BEFORE[style].search(text, max(end, start - 70), start)
             if b and _surname(b["sur"]):
                 before = text[max(0, b.start() - 14) : b.start()].split()
                 if not before or before[-1].lower() not in _BEFORE_PLACE:
-                    start, stop = b.start(), m.end()
+                    start, stop = b.start(), after
                     tail = re.compile(rf"{_GAP}[{ANY}]\.(?![\w])").match(text, stop)
                     if tail and not text[tail.end() : tail.end() + 2].strip().isupper():
                         stop = tail.end()
         if stop is not None and not taken(start, stop):
             marks.add(start, stop, "name")
             end = stop
-    for pattern in (_INITIAL, _INITIAL_L) if text == text.lower() else (_INITIAL,):
+    for pattern in (_INITIAL, _INITIAL_L) if text == lower else (_INITIAL,):
         for m in pattern.finditer(text):
             if len(m["sur"]) > 3 and _surname(m["sur"]) and not taken(m.start(), m.end()):
                 marks.add(m.start(), m.end(), "name")
@@ -273,8 +339,9 @@ def find_pii(text: str | None, model: contexts.Contexts | None = None) -> list[t
         return []
     marks = _Marks(len(text))
     taken = marks.taken
-    last = 0
-    for hint in _EMAIL_AT.finditer(text):
+    last, lower = 0, text.lower()
+    folded = _folded(text, lower)
+    for hint in _mail_hints(text, folded):
         if hint.start() < last:
             continue
         end = hint.start() - (text[hint.start() - 1 : hint.start()].isspace() and hint[0][0] != " ")
@@ -289,7 +356,7 @@ def find_pii(text: str | None, model: contexts.Contexts | None = None) -> list[t
     runs = [m.span() for m in _RUN.finditer(text)]
     for a, b in runs:
         low, high = max(0, a - 60), min(len(text), b + 150)
-        if "," in text[b : b + 80] and not taken(a, b) and _ADDRESS_HINT.search(text, low, high):
+        if "," in text[b : b + 80] and not taken(a, b) and _hinted(text, folded, low, high):
             for m in _ADDRESS.finditer(text, low, high):
                 if m.start() <= a < m.end() and not taken(m.start(), m.end()):
                     marks.add(m.start(), m.end(), "address")
@@ -313,10 +380,10 @@ def find_pii(text: str | None, model: contexts.Contexts | None = None) -> list[t
         m = _PHONE.match(text, start)
         if m and not taken(m.start(), m.end()):
             marks.add(m.start(), m.end(), "phone")
-    for m in _LONG_NUMBER.finditer(text):
+    for m in _long_numbers(text, runs):
         if not taken(m.start(), m.end()) and (valid_card(m[0]) or valid_iban(m[0])):
             marks.add(m.start(), m.end(), "id_number")
-    _names(text, marks)
+    _names(text, marks, lower)
     if model:
         for start, end in contexts.names_in(text, model, STOP):
             if not taken(start, end):
@@ -513,7 +580,7 @@ def scan(documents: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame
                     [r[0] for r in free], [r[1] for r in free], [value[r[0] : r[1]] for r in free], [r[2] for r in free], [r[3] for r in free], None,
                 ))
             yield _batch(rows, _COLUMNS, _TYPES)
-            if len(tally.seen) > TALLIED:
+            if len(tally) > TALLIED:
                 yield _batch([(*[None] * 11, tally.rows())], _COLUMNS, _TYPES)
         yield _batch([(*[None] * 11, tally.rows())], _COLUMNS, _TYPES)
 
