@@ -10,7 +10,8 @@ are then expanded backwards, each one smaller than the one before.
 Nothing is ever collected: per round the driver sees one edge count. Hooking and deduplication
 are aggregations with map-side combination, so a vertex with a third of all edges costs one row
 per task; where such a vertex is a join key it is joined apart (``join_hot``). Each round is
-written to the shared checkpoint folder and survives lost executors.
+written to the shared checkpoint folder and survives lost executors; estimated sizes are not carried
+over rounds, where every join multiplies them (``cut_bare``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castweave.operators.skew import hot_values, join_hot
-from castweave.runtime import cut
+from castweave.runtime import cut_bare as cut
 
 
 def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:

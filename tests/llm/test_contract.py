@@ -47,3 +47,9 @@ def test_found_uses_accepted_only_and_ignores_clashing_columns(spark):
     rows = [("a", "b", "accepted", "m", "u", "h"), ("b", "c", "rejected", None, None, None), ("c", "d", None, "", "", "")]
     got = {tuple(r) for r in found_groups(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("a", "a"), ("b", "a")}
+
+
+def test_estimated_sizes_do_not_grow_with_the_rounds(spark):
+    pairs = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(200)], "l string, r string")
+    size = connected_groups(pairs, "l", "r")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 1 << 200
