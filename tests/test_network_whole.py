@@ -52,3 +52,12 @@ def test_larger_graphs_as_frames_have_all_sources_too(spark, monkeypatch):
     got = {r.id: r for r in N.score_people(appearances(spark, graph(n))).collect()}
     assert {k: r.closeness for k, r in got.items()} == pytest.approx(close)
     assert {k: r.betweenness for k, r in got.items()} == pytest.approx(between)
+
+
+def test_week_people_of_more_people_than_a_sample(spark):
+    n = N.PATH_SAMPLE + 60
+    close, between = exact(n, graph(n))
+    got = {r.id: r for r in N.week_people(appearances(spark, graph(n)), "2024-01-01", None, n).collect()}
+    assert len(got) == n
+    assert {k: r.closeness for k, r in got.items()} == pytest.approx(close)
+    assert {k: r.betweenness for k, r in got.items()} == pytest.approx(between)
